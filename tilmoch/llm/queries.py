@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tilmoch.llm.consistent import consistent_texts
+from tilmoch.llm.cross_split import cross_split_pairs
 from tilmoch.llm.eval_leaks import leaks
 from tilmoch.llm.format_copies import copy_counts, payload_records, record_copies
-from tilmoch.llm.text_columns import joined
+from tilmoch.llm.near_duplicates import group_pairs, near_duplicate_groups
+from tilmoch.llm.text_columns import joined, plain_key
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -65,6 +67,37 @@ def p4_texts(spark: SparkSession, sf: str) -> DataFrame:
     return _fields(spark, sf)
 
 
+def _cross(spark: SparkSession, sf: str) -> DataFrame:
+    ner = table(spark, sf, "ner_records")
+    return cross_split_pairs(ner, "id", F.col("tokens"), F.when(F.col("split") == "train", False).when(F.col("split").isin("validation", "test"), True))
+
+
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    pairs = _cross(spark, sf).where("eval_id <> train_id")
+    return pairs.select(F.least("eval_id", "train_id").alias("id_a"), F.greatest("eval_id", "train_id").alias("id_b")).distinct()
+
+
+def p5_totals(spark: SparkSession, sf: str) -> DataFrame:
+    """Overlapping pairs, evaluation records and training records per evaluation split and source."""
+    ner = table(spark, sf, "ner_records").select("id", "split", plain_key(F.col("source")).alias("source_key"))
+    first = ner.groupBy("id").agg(F.min("split").alias("split"), F.min("source_key").alias("source_key"))
+    pairs = _cross(spark, sf).join(first.withColumnRenamed("id", "eval_id"), "eval_id")
+    return pairs.groupBy("split", "source_key").agg(F.count("*").alias("pairs"), F.countDistinct("eval_id").alias("eval_ids"), F.countDistinct("train_id").alias("train_ids"))
+
+
+def _groups(spark: SparkSession, sf: str) -> DataFrame:
+    return near_duplicate_groups(table(spark, sf, "ner_records"), "id", F.col("tokens"), F.col("source"))
+
+
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    return group_pairs(_groups(spark, sf))
+
+
+def p6_groups(spark: SparkSession, sf: str) -> DataFrame:
+    """Group of each near-duplicate id."""
+    return _groups(spark, sf)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k[0] == "p" and k[1:2].isdigit()}
 
