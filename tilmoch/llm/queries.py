@@ -11,14 +11,42 @@ from tilmoch.llm.consistent import consistent_texts
 from tilmoch.llm.cross_split import cross_split_pairs
 from tilmoch.llm.eval_leaks import leaks
 from tilmoch.llm.format_copies import copy_counts, payload_records, record_copies
+from tilmoch.llm.mixing import mix, shares
 from tilmoch.llm.near_duplicates import group_pairs, near_duplicate_groups
+from tilmoch.llm.packing import fill_report, pack
+from tilmoch.llm.quality import text_quality
 from tilmoch.llm.text_columns import joined, plain_key
+from tilmoch.llm.tokens import language, slice_totals, source_name, token_counts
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def p1_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Tokens of every document and record, with one name per source, one spelling per language, and the domain."""
+    cat = table(spark, sf, "source_catalog")
+    cat = cat.select(source_name(F.col("source")).alias("k"), F.col("source").alias("name"), F.col("lang").alias("cat_lang"), F.col("domain").alias("cat_domain")).dropDuplicates(["k"])
+    docs, ner = table(spark, sf, "documents"), table(spark, sf, "ner_records")
+    # what a row is labelled with travels beside its key, so that no join brings it back
+    doc = docs.select(F.struct(F.col("doc_id").cast("string").alias("id"), F.lit("documents").alias("tbl"), "source", "lang", "domain").alias("key"), "text")
+    rec = ner.select(F.struct("id", F.lit("ner_records").alias("tbl"), "source", F.lit(None).cast("string").alias("lang"), F.lit(None).cast("string").alias("domain")).alias("key"), joined(F.col("tokens")).alias("text"))
+    n = token_counts(doc.unionByName(rec), "key", F.col("text")).select("key.*", "tokens", "cyrillic")
+    n = n.join(cat, source_name(F.col("source")) == F.col("k"), "left")
+    out = n.select(
+        "tbl", F.col("id").alias("row_key"), "tokens", F.coalesce("name", F.when(F.col("source").isNotNull(), source_name(F.col("source"))), F.lit("unknown")).alias("source"),
+        language(F.col("lang"), F.col("cat_lang"), F.col("cyrillic")).alias("lang"), F.coalesce("domain", "cat_domain", F.lit("unknown")).alias("domain"),
+    )
+    docs_out, recs = out.where("tbl = 'documents'"), out.where("tbl = 'ner_records'")
+    # a second delivery is the same row: its key counts once
+    once = recs.groupBy("tbl", "row_key").agg(*(F.max(c).alias(c) for c in ("tokens", "source", "lang", "domain")))
+    return docs_out.unionByName(once)
+
+
+def p1_totals(spark: SparkSession, sf: str) -> DataFrame:
+    return slice_totals(p1_rows(spark, sf))
+
+
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     ner = record_copies(table(spark, sf, "ner_records"), "id", F.col("tokens"), F.col("source"))
     raw = payload_records(table(spark, sf, "raw_lines"), "line_id", "payload")
@@ -98,6 +126,47 @@ def p6_groups(spark: SparkSession, sf: str) -> DataFrame:
     return _groups(spark, sf)
 
 
+def _doc_tokens(spark: SparkSession, sf: str, *more: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select(F.struct("doc_id", *more).alias("key"), "text")
+    return token_counts(docs, "key", F.col("text")).select("key.*", "tokens")
+
+
+def p7_placed(spark: SparkSession, sf: str) -> DataFrame:
+    """Container of each document, or of each part of one above the capacity, for each capacity."""
+    specs = [(r["spec_id"], r["capacity_tokens"]) for r in table(spark, sf, "container_specs").select("spec_id", "capacity_tokens").toLocalIterator()]
+    return pack(_doc_tokens(spark, sf), specs)
+
+
+def p7_fill(spark: SparkSession, sf: str) -> DataFrame:
+    return fill_report(p7_placed(spark, sf))
+
+
+def _targets(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "mix_targets").withColumn("source", source_name(F.col("source")))
+
+
+def p8_uses(spark: SparkSession, sf: str) -> DataFrame:
+    """Uses of every document of a plan's sources."""
+    docs = _doc_tokens(spark, sf, "source").withColumn("source", source_name(F.col("source")))
+    return mix(docs, _targets(spark, sf))
+
+
+def p8_shares(spark: SparkSession, sf: str) -> DataFrame:
+    return shares(p8_uses(spark, sf), _targets(spark, sf))
+
+
+def _quality(spark: SparkSession, sf: str) -> DataFrame:
+    return text_quality(table(spark, sf, "documents"), "doc_id", F.col("text")).withColumnRenamed("key", "doc_id")
+
+
+def p9_found(spark: SparkSession, sf: str) -> DataFrame:
+    return _quality(spark, sf).where("kind <> 'prose'").select("doc_id")
+
+
+def p9_statistics(spark: SparkSession, sf: str) -> DataFrame:
+    return _quality(spark, sf)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k[0] == "p" and k[1:2].isdigit()}
 
