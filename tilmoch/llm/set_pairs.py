@@ -40,15 +40,23 @@ def parity_sketch(words: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return out
 
 
-def run_pairs(key: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Index pairs i < j of equal keys in a sorted array, for runs up to limit, and the mask of rows in longer runs."""
+def run_pairs(key: np.ndarray, limit: int, most: int = 1 << 20) -> tuple[Iterator[tuple[np.ndarray, np.ndarray]], np.ndarray]:
+    """Index pairs i < j of equal keys in a sorted array, for runs up to limit, in blocks of about most pairs; and the mask of rows in longer runs."""
     start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     size = np.diff(np.append(start, len(key)))
     hot = np.repeat(size > limit, size)
-    end = np.repeat(start + size, size)
-    n = np.where(hot, 0, end - np.arange(len(key)) - 1)
-    i = np.repeat(np.arange(len(key)), n)
-    return i, i + 1 + ranges(n), hot
+    n = np.where(hot, 0, np.repeat(start + size, size) - np.arange(len(key)) - 1)
+    total = np.cumsum(n)
+
+    def blocks() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        at = 0
+        while at < len(key):
+            to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + most, side="right")))
+            i = np.repeat(np.arange(at, to), n[at:to])
+            yield i, i + 1 + ranges(n[at:to])
+            at = to
+
+    return blocks(), hot
 
 
 def paired(rows: DataFrame, keep: Callable[[dict[str, np.ndarray], np.ndarray, np.ndarray], np.ndarray], limit: int = RUN_LIMIT) -> DataFrame:
@@ -61,10 +69,8 @@ def paired(rows: DataFrame, keep: Callable[[dict[str, np.ndarray], np.ndarray, n
     names = rows.columns
 
     def emit(cols: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
-        i, j, hot = run_pairs(cols["key"], limit)
-        step = 1 << 20
-        for at in range(0, len(i), step):
-            x, y = i[at : at + step], j[at : at + step]
+        pairs, hot = run_pairs(cols["key"], limit)
+        for x, y in pairs:
             ok = keep(cols, x, y)
             a, b = cols["nid"][x[ok]], cols["nid"][y[ok]]
             if len(a):
@@ -130,45 +136,46 @@ def _flat(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def banded_distance(a: np.ndarray, an: np.ndarray, b: np.ndarray, bn: np.ndarray, most: np.ndarray) -> np.ndarray:
     """Insert-delete distance of each pair of strings, or most + 1 where it is more; all pairs advance together.
 
-    Row i of the table holds the cells |i - j| <= band; cells beyond cannot lie on a
-    path within the bound.
+    A path of cost <= most from (0, 0) to (|a|, |b|) leaves the diagonals between its
+    ends by at most (most - ||b| - |a||) / 2, so only those diagonals are filled. A
+    pair is dropped once no cell can reach the end within its bound.
     """
-    pairs = len(an)
-    out = np.zeros(pairs, np.int64)
+    out = most + 1
+    gap = bn - an
+    slack = (most - np.abs(gap)) // 2
+    live = np.flatnonzero(slack >= 0)
     a0, b0 = np.cumsum(an) - an, np.cumsum(bn) - bn
-    for at in np.array_split(np.argsort(an, kind="stable"), max(1, pairs // 4096)):
+    width = np.abs(gap) + 2 * slack + 1
+    order = live[np.lexsort((an[live], width[live]))]
+    big = np.int32(1 << 28)
+    for at in np.array_split(order, max(1, len(order) // 8192)):
         if not len(at):
             continue
-        la, lb, k = an[at], bn[at], most[at]
-        band = int(k.max())
-        width = 2 * band + 1
-        big = np.int32(1 << 28)
-        d = np.arange(width) - band  # j - i
-        row = np.where(d[None, :] >= 0, np.broadcast_to(d, (len(at), width)), big).astype(np.int32)
-        done = np.full(len(at), big, np.int32)
-        zero = la == 0
-        done[zero] = np.where(np.abs(lb - 0)[zero] <= band, lb[zero], big)
-        for i in range(1, int(la.max()) + 1 if len(la) else 0):
-            j = i + d  # column of each cell
-            inside = (j[None, :] >= 1) & (j[None, :] <= lb[:, None])
-            wa = a[np.minimum(a0[at] + i - 1, len(a) - 1)]
-            wb = b[np.minimum(b0[at][:, None] + np.clip(j, 1, None)[None, :] - 1, len(b) - 1)] if len(b) else np.zeros((len(at), width), a.dtype)
-            diag = np.where(inside & (wa[:, None] == wb), row, big)
-            up = np.concatenate([row[:, 1:], np.full((len(at), 1), big, np.int32)], axis=1) + 1
-            up = np.where((j[None, :] >= 0) & (j[None, :] <= lb[:, None]), up, big)
-            new = np.minimum(diag, up)
-            # insertions along the row: the running minimum of (cost - place) + place
-            new = np.minimum.accumulate(new - d[None, :].astype(np.int32), axis=1) + d[None, :].astype(np.int32)
-            new = np.where((j[None, :] >= 0) & (j[None, :] <= lb[:, None]), new, big).astype(np.int32)
-            row = new
-            ends = la == i
+        cells = np.arange(int(width[at].max()))
+        lo = np.minimum(0, gap[at]) - slack[at]
+        d = (lo[:, None] + cells).astype(np.int32)  # j - i of each cell
+        row = np.where((d >= 0) & (d <= bn[at][:, None]), d, big)
+        i = 0
+        while len(at):
+            ends = an[at] == i
             if ends.any():
-                place = lb[ends] - i + band
-                ok = (place >= 0) & (place < width)
-                value = np.full(int(ends.sum()), big, np.int32)
-                value[ok] = row[np.flatnonzero(ends)[ok], place[ok]]
-                done[ends] = value
-        out[at] = np.minimum(done, k + 1)
+                c = (gap[at] - lo)[ends]
+                out[at[ends]] = np.minimum(row[np.flatnonzero(ends), c], most[at[ends]] + 1)
+            go = ~ends & ((row + np.abs(gap[at][:, None] - d)).min(axis=1) <= most[at])
+            if not go.all():
+                at, lo, d, row = at[go], lo[go], d[go], row[go]
+            if not len(at):
+                break
+            i += 1
+            j = d + i
+            inside = (j >= 0) & (j <= bn[at][:, None])
+            wb = b[np.clip(b0[at][:, None] + j - 1, 0, len(b) - 1)]
+            same = (a[a0[at] + i - 1][:, None] == wb) & (j >= 1)
+            new = np.where(same & inside, row, big)
+            new[:, :-1] = np.minimum(new[:, :-1], row[:, 1:] + 1)
+            new = np.where(inside, new, big)
+            new = np.minimum.accumulate(new - d, axis=1) + d  # insertions along the row
+            row = np.where(inside, new, big).astype(np.int32)
     return out
 
 
