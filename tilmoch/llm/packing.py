@@ -65,19 +65,28 @@ def members(tree: object) -> list[int]:
 
 
 def fill_windows(sizes: np.ndarray, capacity: int) -> np.ndarray:
-    """Window of each item, none above capacity (items must fit). The window count starts at a lower bound and rises while a window is too full."""
+    """Window of each item, none above capacity (items must fit).
+
+    The window count starts at a lower bound and rises whenever capacity is exceeded.
+    """
     if not len(sizes):
         return np.zeros(0, np.int64)
     order = np.argsort(-sizes, kind="stable")
     s = sizes[order].tolist()
     big = int((sizes * 2 > capacity).sum())  # no two of these share a window
     k = max(1, -(-int(sizes.sum()) // capacity), big)
-    while True:
+    full = lambda ws: any(w > capacity for w, _ in ws)
+    windows, low, step = differencing(s, k), k - 1, 1
+    while full(windows):  # the rise doubles until everything fits, then the last rise is halved down
+        low, k, step = k, k + step, 2 * step
         windows = differencing(s, k)
-        excess = sum(w - capacity for w, _ in windows if w > capacity)
-        if not excess:
-            break
-        k += max(1, excess // capacity)
+    while k - low > 1:
+        mid = (k + low) // 2
+        fewer = differencing(s, mid)
+        if full(fewer):
+            low = mid
+        else:
+            k, windows = mid, fewer
     out = np.zeros(len(sizes), np.int64)
     for j, (_, m) in enumerate(windows):
         out[order[members(m)]] = j
@@ -121,7 +130,8 @@ def pack(items: DataFrame, capacities: Iterable[tuple[int, int]], block: int = B
     specs = sorted({(int(i), int(c)) for i, c in capacities if i is not None and c is not None and c > 0})
     rows = items.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("tokens", F.lit(0)).cast("bigint").alias("tokens"))
     n = rows.count()
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(max(1, -(-n // block)))))
+    blocks = max(1, -(-n // block))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)))
     names = ["spec_id", "doc_id", "part", "tokens", "container_id", "container_tokens", "capacity_tokens"]
 
     def run(t: pa.Table) -> pa.Table:
@@ -136,6 +146,7 @@ def pack(items: DataFrame, capacities: Iterable[tuple[int, int]], block: int = B
             out.append(pa.Table.from_arrays([pa.array(c.astype(np.int64)) for c in cols], names))
         return pa.concat_tables(out) if out else pa.Table.from_arrays([pa.array([], pa.int64())] * len(names), names)
 
+    rows = rows.repartition(blocks, "block")  # else adaptive execution may put all these small rows into one task
     return rows.groupBy("block").applyInArrow(run, ", ".join(f"{c} bigint" for c in names))
 
 
