@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tilmoch.session import shared_table
+
 #: Expected documents per block; a block is packed in one task.
 BLOCK = 4096
 
@@ -129,6 +131,7 @@ def pack(items: DataFrame, capacities: Iterable[tuple[int, int]], block: int = B
     """
     specs = sorted({(int(i), int(c)) for i, c in capacities if i is not None and c is not None and c > 0})
     rows = items.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("tokens", F.lit(0)).cast("bigint").alias("tokens"))
+    rows = shared_table(rows, "sizes")  # read twice: the items are not counted token by token again
     n = rows.count()
     blocks = max(1, -(-n // block))
     rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)))
