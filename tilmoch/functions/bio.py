@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tilmoch.functions import lexicon as L
@@ -150,58 +150,59 @@ def ordinal_day_words(day: Column) -> Column:
     return F.array_compact(F.when(un == 0, F.array(F.get(full, te - 1))).otherwise(F.array(F.get(tens, te - 1), F.get(units, un - 1))))
 
 
-def expand_temporal(tokens: Column, tags: Column) -> Column:
-    """ARR10: ``(tokens, tags)`` with unambiguous TEMPORAL day-months and years 2000 to 2030 spoken; the other tokens are normalised.
+def with_spoken_temporal(df: DataFrame, tokens: str, tags: str, out_tokens: str, out_tags: str) -> DataFrame:
+    """ARR10: TEMPORAL day-months and years 2000 to 2030 in words, the other tokens normalised.
 
     A token at the start of a TEMPORAL span may take the next one with it; that one
-    is then dropped, since it continues the span.
+    is then dropped, since it continues the span. Each step is a column of its own,
+    so that no array is computed twice.
     """
-    norm = S.augmentation_tokens(tokens)
-    n = F.size(norm)
-    following = F.concat(F.slice(norm, 2, F.greatest(n - 1, F.lit(0))), F.array(F.lit("")))
-    next_tag = F.concat(F.slice(tags, 2, F.greatest(n - 1, F.lit(0))), F.array(F.lit("")))
+    df = df.withColumn("_norm", S.augmentation_tokens(F.col(tokens)))
+    n = F.size("_norm")
+    rest = lambda a: F.concat(F.slice(a, 2, F.greatest(n - 1, F.lit(0))), F.array(F.lit("")))
+    df = df.withColumn("_rows", S.zip2(S.zip2(F.col("_norm"), F.col(tags)), S.zip2(rest(F.col("_norm")), rest(F.col(tags)))))
     months = F.array(*map(F.lit, L.PLAIN_MONTHS))
-    rows = S.zip2(S.zip2(norm, tags), S.zip2(following, next_tag))
+
+    def read(r: Column) -> Column:
+        t, nt = r["0"]["0"], r["1"]["0"]
+        return F.struct(
+            t.alias("t"), nt.alias("nt"), r["0"]["1"].alias("g"), (r["0"]["1"] == "B-TEMPORAL").alias("starts"), (r["1"]["1"] == "I-TEMPORAL").alias("pair"),
+            F.regexp_extract(t, r"^(\d{1,2})-", 1).try_cast("int").alias("day"), F.regexp_extract(t, r"^\d{1,2}-(.*)$", 1).alias("month"),
+            F.when(t.rlike(r"^\d{1,4}\z"), t.try_cast("int")).alias("alone"), F.regexp_extract(t, r"^(\d{1,4})-yil\z", 1).try_cast("int").alias("year"),
+        )
 
     def speak(r: Column) -> Column:
-        t, g, nt, ng = r["0"]["0"], r["0"]["1"], r["1"]["0"], r["1"]["1"]
-        starts = g == "B-TEMPORAL"
-        day = F.regexp_extract(t, r"^(\d{1,2})-", 1).try_cast("int")
-        month = F.regexp_extract(t, r"^\d{1,2}-(.*)$", 1)
-        alone = F.when(t.rlike(r"^\d{1,4}$"), t.try_cast("int"))
-        year = F.regexp_extract(t, r"^(\d{1,4})-yil$", 1).try_cast("int")
-        pair = ng == "I-TEMPORAL"
         year_of = lambda y: F.when(y.between(2000, 2030), year_words(y))
-        out = (
-            F.when(starts & day.between(1, 31) & F.array_contains(months, month), F.struct(F.concat(ordinal_day_words(day), F.array(month)).alias("w"), F.lit(1).alias("used")))
-            .when(starts & alone.between(1, 31) & pair & F.array_contains(months, nt), F.struct(F.concat(ordinal_day_words(alone), F.array(nt)).alias("w"), F.lit(2).alias("used")))
-            .when(starts & year_of(year).isNotNull(), F.struct(F.concat(year_of(year), F.array(F.lit("yil"))).alias("w"), F.lit(1).alias("used")))
-            .when(starts & t.rlike(r"^\d+-yil$"), F.struct(F.array(F.lit("yil")).alias("w"), F.lit(1).alias("used")))
-            .when(starts & pair & nt.isin("yil", "yili", "yilda") & year_of(alone).isNotNull(), F.struct(F.concat(year_of(alone), F.array(F.lit("yil"))).alias("w"), F.lit(2).alias("used")))
+        say = lambda w, last, used: F.struct(F.concat(w, F.array(last)).alias("w"), F.lit(used).alias("used"), r["g"].alias("g"))
+        return (
+            F.when(~r["starts"], F.struct(F.array(r["t"]).alias("w"), F.lit(0).alias("used"), r["g"].alias("g")))
+            .when(r["day"].between(1, 31) & F.array_contains(months, r["month"]), say(ordinal_day_words(r["day"]), r["month"], 1))
+            .when(r["alone"].between(1, 31) & r["pair"] & F.array_contains(months, r["nt"]), say(ordinal_day_words(r["alone"]), r["nt"], 2))
+            .when(r["year"].between(2000, 2030), say(year_of(r["year"]), F.lit("yil"), 1))
+            .when(r["t"].rlike(r"^\d+-yil\z"), F.struct(F.array(F.lit("yil")).alias("w"), F.lit(1).alias("used"), r["g"].alias("g")))
+            .when(r["pair"] & r["nt"].isin("yil", "yili", "yilda") & r["alone"].between(2000, 2030), say(year_of(r["alone"]), F.lit("yil"), 2))
+            .otherwise(F.struct(F.array(r["t"]).alias("w"), F.lit(0).alias("used"), r["g"].alias("g")))
         )
-        return F.coalesce(out, F.struct(F.array(t).alias("w"), F.lit(0).alias("used")))
-
-    spoken = F.transform(rows, speak)
-    eaten = F.concat(F.array(F.lit(False)), F.transform(F.slice(spoken, 1, F.greatest(n - 1, F.lit(0))), lambda s: s["used"] == 2))
-    kept = F.filter(F.zip_with(F.zip_with(spoken, tags, lambda s, g: F.struct(s["w"].alias("w"), s["used"].alias("used"), g.alias("g"))), eaten, lambda s, e: F.struct(s["w"].alias("w"), s["used"].alias("used"), s["g"].alias("g"), e.alias("e"))), lambda s: ~s["e"])
-    return F.struct(
-        F.flatten(F.transform(kept, lambda s: s["w"])).alias("tokens"),
-        F.flatten(F.transform(kept, lambda s: _spread(s["g"], F.size(s["w"])))).alias("tags"),
-        F.size(F.filter(kept, lambda s: s["used"] > 0)).alias("expansions"),
-    )
-
 
-def speech_variant(record_id: Column, tokens: Column, tags: Column, seed: int) -> Column:
-    """ARR11: ``(tokens, tags)`` as spoken: no O punctuation, ARR10, and one filler whose word and place follow from a hash of the id."""
-    kept = F.filter(S.zip2(tokens, tags), lambda p: ~((p["1"] == "O") & p["0"].rlike(SPOKEN_PUNCTUATION)))
-    x = expand_temporal(F.transform(kept, lambda p: p["0"]), F.transform(kept, lambda p: p["1"]))
-    spots = F.filter(F.transform(S.zip2(x["tokens"], x["tags"]), lambda p, i: F.when((p["1"] == "O") & p["0"].rlike(r"^[\p{L}\p{N}]+$"), i + 2)), lambda i: i.isNotNull())
-    digest = F.conv(F.substring(F.sha2(F.concat(F.lit(f"{seed}:"), record_id), 256), 1, 8), 16, 10).cast("bigint")
-    n = F.size(spots)
-    spot = F.get(spots, F.when(n > 0, (digest % n).cast("int")))
-    word = F.get(F.array(*map(F.lit, SPEECH_FILLERS)), (digest % 3).cast("int"))
-    put = lambda a, v: F.when(spot.isNull(), a).otherwise(F.concat(F.slice(a, 1, F.coalesce(spot - 1, F.lit(0))), F.array(v), F.slice(a, F.coalesce(spot, F.lit(1)), F.greatest(F.size(a) - F.coalesce(spot, F.lit(1)) + 1, F.lit(0)))))
-    return F.struct(put(x["tokens"], word).alias("tokens"), put(x["tags"], F.lit("O")).alias("tags"))
+    df = df.withColumn("_read", F.transform("_rows", read)).withColumn("_said", F.transform("_read", speak))
+    df = df.withColumn("_kept", F.filter("_said", lambda s, i: (i == 0) | (F.get("_said", F.greatest(i - 1, F.lit(0)))["used"] != 2)))
+    df = df.withColumn(out_tokens, F.flatten(F.transform("_kept", lambda s: s["w"]))).withColumn(out_tags, F.flatten(F.transform("_kept", lambda s: _spread(s["g"], F.size(s["w"])))))
+    return df.drop("_norm", "_rows", "_read", "_said", "_kept")
+
+
+def with_speech_variant(df: DataFrame, seed: int, key: str = "id", tokens: str = "tokens", tags: str = "ner_tags") -> DataFrame:
+    """ARR11: ``spoken_tokens, spoken_tags``: no O punctuation, ARR10, and one filler whose word and place follow from a hash of the id."""
+    df = df.withColumn("_pairs", F.filter(S.zip2(F.col(tokens), F.col(tags)), lambda p: ~((p["1"] == "O") & p["0"].rlike(SPOKEN_PUNCTUATION))))
+    df = df.withColumn("_t0", F.transform("_pairs", lambda p: p["0"])).withColumn("_g0", F.transform("_pairs", lambda p: p["1"]))
+    df = with_spoken_temporal(df, "_t0", "_g0", "_t1", "_g1")
+    df = df.withColumn("_spots", F.filter(F.transform(S.zip2(F.col("_t1"), F.col("_g1")), lambda p, i: F.when((p["1"] == "O") & p["0"].rlike(r"^[\p{L}\p{N}]+\z"), i + 2)), lambda i: i.isNotNull()))
+    df = df.withColumn("_digest", F.conv(F.substring(F.sha2(F.concat(F.lit(f"{seed}:"), key), 256), 1, 8), 16, 10).cast("bigint"))
+    df = df.withColumn("_spot", F.get("_spots", F.when(F.size("_spots") > 0, (F.col("_digest") % F.size("_spots")).cast("int"))))
+    word = F.get(F.array(*map(F.lit, SPEECH_FILLERS)), (F.col("_digest") % 3).cast("int"))
+    at = F.coalesce(F.col("_spot"), F.lit(1))
+    put = lambda a, v: F.when(F.col("_spot").isNull(), F.col(a)).otherwise(F.concat(F.slice(a, 1, at - 1), F.array(v), F.slice(a, at, F.greatest(F.size(a) - at + 1, F.lit(0)))))
+    df = df.withColumn("spoken_tokens", put("_t1", word)).withColumn("spoken_tags", put("_g1", F.lit("O")))
+    return df.drop("_pairs", "_t0", "_g0", "_t1", "_g1", "_spots", "_digest", "_spot")
 
 
 def ngrams(words: Column, low: int = 3, high: int = 5) -> Column:

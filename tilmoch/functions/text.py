@@ -6,8 +6,9 @@ two Unicode normalization forms, which run as Arrow functions on whole batches.
 
 from __future__ import annotations
 
+import unicodedata
+
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,21 +32,39 @@ METRIC_WORD = rf"{WORD_CHAR}+(?:[ʻ’‘ʼ'`\-]{WORD_CHAR}+)*"
 TOKEN = T.StructType().add("text", T.StringType()).add("start", T.IntegerType()).add("end", T.IntegerType()).add("boundary_before", T.BooleanType()).add("key", T.StringType())
 
 
+_PART = "\x00"  # parts the texts of a batch; it neither composes nor changes
+
+
+def _normalized(x: pa.Array, form: str) -> pa.Array:
+    """A normalization form of a whole batch in one call; texts that hold the part mark are done one by one."""
+    texts = x.to_pylist()
+    whole = _PART.join(t or "" for t in texts)
+    if unicodedata.is_normalized(form, whole):
+        return x
+    parts = unicodedata.normalize(form, whole).split(_PART)
+    if len(parts) != len(texts):
+        parts = [unicodedata.normalize(form, t or "") for t in texts]
+    return pa.array([None if t is None else p for t, p in zip(texts, parts)], pa.string())
+
+
 @F.arrow_udf(T.StringType())
 def nfc(x: pa.Array) -> pa.Array:
-    return pc.utf8_normalize(x, form="NFC")
+    return _normalized(x, "NFC")
 
 
 @F.arrow_udf(T.StringType())
 def nfkc(x: pa.Array) -> pa.Array:
-    return pc.utf8_normalize(x, form="NFKC")
+    return _normalized(x, "NFKC")
 
 
 @F.arrow_udf(T.ArrayType(T.StringType()))
 def nfkc_all(x: pa.Array) -> pa.Array:
     """NFKC of every element of a string array."""
-    flat = pc.utf8_normalize(x.flatten(), form="NFKC")
-    off = x.offsets.to_numpy() - x.offsets[0].as_py()
+    flat = _normalized(x.flatten(), "NFKC")
+    sizes = x.value_lengths().fill_null(0).to_pylist()
+    off = [0]
+    for n in sizes:
+        off.append(off[-1] + n)
     return pa.ListArray.from_arrays(pa.array(off, pa.int32()), flat, mask=x.is_null() if x.null_count else None)
 
 
@@ -186,11 +205,11 @@ def metric_tokens(x: Column) -> Column:
 
 def surname_like(key: Column) -> Column:
     """STR14: five characters or more with a surname ending."""
-    return (F.length(key) >= 5) & key.rlike(f"(?:{'|'.join(L.SURNAME_ENDINGS)})$")
+    return (F.length(key) >= 5) & key.rlike(rf"(?:{'|'.join(L.SURNAME_ENDINGS)})\z")
 
 
 def name_word(key: Column) -> Column:
-    return key.rlike(r"^\p{L}+$")
+    return key.rlike(r"^\p{L}+\z")
 
 
 def upper_first(x: Column) -> Column:
@@ -200,7 +219,7 @@ def upper_first(x: Column) -> Column:
 
 def has_suffix_form(key: Column, values: list[str]) -> Column:
     """STR16: the key, or the key without one of the nine temporal suffixes, is in the list."""
-    return key.rlike(f"^(?:{'|'.join(values)})(?:{'|'.join(L.TEMPORAL_SUFFIXES)})?$")
+    return key.rlike(rf"^(?:{'|'.join(values)})(?:{'|'.join(L.TEMPORAL_SUFFIXES)})?\z")
 
 
 def most_edits(key: Column) -> Column:
@@ -211,13 +230,13 @@ def most_edits(key: Column) -> Column:
 def numeric_calendar(key: Column) -> Column:
     """STR20: numeric dates, years with -yil, and day-months from 1 to 31."""
     months = f"(?:{'|'.join(L.MONTHS)})(?:{'|'.join(L.TEMPORAL_SUFFIXES)})?"
-    return key.rlike(rf"^(?:\d{{1,2}}[./-]\d{{1,2}}(?:[./-]\d{{2,4}})?|\d{{4}}-yil(?:da|dan|ga|gacha)?|(?:0?[1-9]|[12]\d|3[01])-{months})$")
+    return key.rlike(rf"^(?:\d{{1,2}}[./-]\d{{1,2}}(?:[./-]\d{{2,4}})?|\d{{4}}-yil(?:da|dan|ga|gacha)?|(?:0?[1-9]|[12]\d|3[01])-{months})\z")
 
 
 def time_value(key: Column) -> Column:
     """STR21: digits, h:mm, a number word with suffix, or half and quarter."""
     numbers = f"(?:{'|'.join(L.CARDINALS)})(?:{'|'.join(L.TEMPORAL_SUFFIXES)})?"
-    return key.rlike(rf"^(?:\p{{Nd}}+|\d{{1,2}}:\d{{2}}|{numbers}|{'|'.join(L.TIME_SPECIALS)})$")
+    return key.rlike(rf"^(?:\p{{Nd}}+|\d{{1,2}}:\d{{2}}|{numbers}|{'|'.join(L.TIME_SPECIALS)})\z")
 
 
 def digit_runs(x: Column) -> Column:
@@ -227,12 +246,12 @@ def digit_runs(x: Column) -> Column:
 
 def identifier_ok(x: Column) -> Column:
     """STR25: a file-safe identifier."""
-    return x.rlike(r"^[A-Za-z0-9][A-Za-z0-9._-]*$")
+    return x.rlike(r"^[A-Za-z0-9][A-Za-z0-9._-]*\z")
 
 
 def revision_ok(x: Column) -> Column:
     """STR25: an immutable 40-digit revision."""
-    return x.rlike(r"^[0-9a-f]{40}$")
+    return x.rlike(r"^[0-9a-f]{40}\z")
 
 
 def text_ok(x: Column, most: int = 20000) -> Column:

@@ -72,7 +72,7 @@ _CLOCK = "(?:[ni]{0,3}[Nhq]|[ni]{1,4})"
 _TAIL = f"[ty]*(?:s{_CLOCK})?"
 
 def token_classes(tokens: Column) -> Column:
-    """The class string of a token array; a token with a boundary before it has its letter all the same."""
+    """The class letter of each token, as an array."""
 
     def letter(t: Column) -> Column:
         k, out = t["key"], F
@@ -80,7 +80,7 @@ def token_classes(tokens: Column) -> Column:
             out = out.when(test(k), name)
         return out.otherwise("x")
 
-    return F.array_join(F.transform(tokens, letter), "")
+    return F.transform(tokens, letter)
 
 
 def anchored_years(tokens: Column) -> Column:
@@ -103,55 +103,51 @@ def anchored_years(tokens: Column) -> Column:
     return F.filter(F.transform(anchors, first), lambda y: y["first"].isNotNull())
 
 
-def temporal_spans(tokens: Column) -> Column:
-    """SPN2: ``(first, last, kind)`` token indexes of temporal phrases, by one scan of the class string.
+_YEAR_TAIL = _TAIL.replace("[ty]*", "[tyY]*")
+#: The branches in order; Y stands for the anchor of a year phrase.
+GRAMMAR = f"Y|o(?:m|bm){_YEAR_TAIL}|r[wpyY]{_YEAR_TAIL}|m{_YEAR_TAIL}|[wd]{_YEAR_TAIL}|cc?{_YEAR_TAIL}|s{_CLOCK}|h"
+_SPANS = "array<struct<first:int,last:int,evidence:array<string>>>"
 
-    Year phrases of SPN1 are found first. The scan runs over the class string in
-    which every anchor of such a phrase is Y. A span then takes up to three number
-    words before an ordinal month, and a year phrase that starts right after it.
+
+def with_temporal(df: DataFrame, tokens: str, out: str) -> DataFrame:
+    """SPN2: DATE candidates of temporal phrases, by one scan of the class string.
+
+    Year phrases (SPN1) come first; their anchors are Y in the class string. The
+    scan takes matches from left to right. A span then takes up to two number words
+    before an ordinal month, and a year phrase that starts right after it. Each step
+    is a column of its own, so that nothing is evaluated twice.
     """
-    n = F.size(tokens)
-    years = anchored_years(tokens)
-    classes = token_classes(tokens)
-    year_at = lambda i: F.get(F.filter(years, lambda y: y["last"] == i), F.lit(0))
-    # a token that is the anchor of a year phrase is an event of its own
-    letters = F.transform(tokens, lambda t, i: F.when(F.exists(years, lambda y: y["last"] == i), "Y").otherwise(F.get(F.split(classes, ""), i)))
-    string = F.array_join(letters, "")
-    tail = _TAIL.replace("[ty]*", "[tyY]*")
-    grammar = f"Y|o(?:m|bm){tail}|r[wpyY]{tail}|m{tail}|[wd]{tail}|cc?{tail}|s{_CLOCK}|h"
-    pattern = F.lit(f"(.*?)({grammar})")
-    gaps, hits = F.regexp_extract_all(string, pattern, F.lit(1)), F.regexp_extract_all(string, pattern, F.lit(2))
-    both = S.zip2(gaps, hits)
-    ends = F.aggregate(both, F.array(F.lit(0)), lambda acc, p: F.concat(acc, F.array(F.element_at(acc, -1) + F.length(p["0"]) + F.length(p["1"]))))
-    raw = F.zip_with(both, F.slice(ends, 2, F.size(both)), lambda p, e: F.struct((e - F.length(p["1"])).alias("first"), (e - 1).alias("last"), p["1"].alias("h")))
+    t = F.col(tokens)
+    df = df.withColumn("_years", anchored_years(t)).withColumn("_classes", token_classes(t))
+    df = df.withColumn("_letters", F.transform("_classes", lambda c, i: F.when(F.exists("_years", lambda y: y["last"] == i), "Y").otherwise(c)))
+    df = df.withColumn("_string", F.array_join("_letters", ""))
+    pattern = F.lit(f"(.*?)({GRAMMAR})")
+    df = df.withColumn("_m", S.zip2(F.regexp_extract_all("_string", pattern, F.lit(1)), F.regexp_extract_all("_string", pattern, F.lit(2))))
+    ends = F.aggregate("_m", F.array(F.lit(0)), lambda acc, p: F.concat(acc, F.array(F.element_at(acc, -1) + F.length(p["0"]) + F.length(p["1"]))))
+    df = df.withColumn("_ends", F.slice(ends, 2, F.size("_m")))
+    df = df.withColumn("_raw", F.zip_with("_m", "_ends", lambda p, e: F.struct((e - F.length(p["1"])).alias("first"), (e - 1).alias("last"), p["1"].alias("h"))))
+    letters, years = F.col("_letters"), F.col("_years")
+    before = lambda k: F.when(k >= 0, F.get(letters, F.when(k >= 0, k)))
 
     def finish(s: Column) -> Column:
         f, h = s["first"], s["h"]
-        year = year_at(f)
-        # number words right before an ordinal, three with it at most, belong to its month
-        before = lambda k: F.when(k >= 0, F.get(letters, F.when(k >= 0, k)))
         lead = F.when(before(f - 1) == "n", F.when(before(f - 2) == "n", 2).otherwise(1)).otherwise(0)
         prev_ordinal = (before(f - 1) == "o") & h.startswith("m")
-        first = F.when(h == "Y", year["first"]).when(h.startswith("om"), f - lead).when(prev_ordinal, f - 1).otherwise(f)
+        year = F.get(F.filter(years, lambda y: y["last"] == f), F.lit(0))["first"]
+        first = F.when(h == "Y", year).when(h.startswith("om"), f - lead).when(prev_ordinal, f - 1).otherwise(f)
         kind = (
             F.when(h == "Y", "anchored_year").when(h.startswith("om"), "ordinal_month").when(h.startswith("ob"), "ordinal_bridge_month").when(h.startswith("r"), "relative_modifier")
             .when(h.startswith("c"), "numeric_date").when(h.startswith("s"), "clock_marker").when(h == "h", "numeric_time").otherwise("calendar_anchor")
         )
-        after = F.get(F.filter(years, lambda y: y["first"] == s["last"] + 1), F.lit(0))
-        joined = after.isNotNull() & (h != "Y")
-        evidence = F.when(joined, F.array(kind, F.lit("anchored_year"))).otherwise(F.array(kind))
-        return F.struct(first.alias("first"), F.when(joined, after["last"]).otherwise(s["last"]).alias("last"), evidence.alias("evidence"))
+        after = F.when(h != "Y", F.get(F.filter(years, lambda y: y["first"] == s["last"] + 1), F.lit(0))["last"])
+        return F.struct(first.alias("first"), F.coalesce(after, s["last"]).alias("last"), F.array_compact(F.array(kind, F.when(after.isNotNull(), "anchored_year"))).alias("evidence"))
 
+    df = df.withColumn("_spans", F.transform("_raw", finish).cast(_SPANS))
     # a year phrase that a span has taken is no span of its own
-    spans = F.transform(raw, finish)
-    zero = F.array().cast("array<struct<first:int,last:int,evidence:array<string>>>")
-    kept = F.aggregate(spans, zero, lambda acc, s: F.when(F.exists(acc, lambda o: o["last"] >= s["last"]), acc).otherwise(F.concat(acc, F.array(s))))
-    return F.when(n > 0, kept).otherwise(zero)
-
-
-def temporal_candidates(tokens: Column) -> Column:
-    """SPN2 as DATE candidates with text offsets."""
-    return F.transform(temporal_spans(tokens), lambda s: candidate("DATE", _at(tokens, s["first"])["start"], _at(tokens, s["last"])["end"], "temporal_grammar", s["evidence"])).cast(CANDIDATE)
+    kept = F.aggregate("_spans", F.array().cast(_SPANS), lambda acc, s: F.when(F.exists(acc, lambda o: o["last"] >= s["last"]), acc).otherwise(F.concat(acc, F.array(s))))
+    df = df.withColumn("_kept", kept)
+    cands = F.transform("_kept", lambda s: candidate("DATE", _at(t, s["first"])["start"], _at(t, s["last"])["end"], "temporal_grammar", s["evidence"])).cast(CANDIDATE)
+    return df.withColumn(out, cands).drop("_years", "_classes", "_letters", "_string", "_m", "_ends", "_raw", "_spans", "_kept")
 
 
 # --- persons and heads ------------------------------------------------------
@@ -269,26 +265,30 @@ def greedy(sorted_spans: Column, kind: str) -> Column:
     return F.aggregate(sorted_spans, F.array().cast(kind), lambda acc, c: F.when(F.exists(acc, lambda o: (c["start"] < o["end"]) & (o["start"] < c["end"])), acc).otherwise(F.concat(acc, F.array(c))))
 
 
-def resolve(tokens: Column, candidates: Column) -> Column:
+def with_resolved(df: DataFrame, tokens: str, candidates: str, out: str) -> DataFrame:
     """SPN9: valid candidates, one per label and span, without overlaps by fixed priorities, in text order."""
     rank = F.create_map(*[F.lit(v) for i, s in enumerate(SOURCES) for v in (s, i)])
     most = F.create_map(*[F.lit(v) for kv in MOST_WORDS.items() for v in kv])
+    t = F.col(tokens)
 
-    def valid(c: Column) -> Column:
-        inside = F.filter(tokens, lambda t: (c["start"] <= t["start"]) & (t["end"] <= c["end"]))
+    def checked(c: Column, i: Column) -> Column:
+        inside = F.filter(t, lambda x: (c["start"] <= x["start"]) & (x["end"] <= c["end"]))
         limit = F.when((c["label"] == "PER") & (c["source"] == "person_gazetteer"), 4).otherwise(most[c["label"]])
-        aligned = F.exists(tokens, lambda t: t["start"] == c["start"]) & F.exists(tokens, lambda t: t["end"] == c["end"])
-        greeting = (c["label"] == "PER") & F.exists(inside, lambda t: _in(t["key"], L.GREETINGS))
-        return aligned & F.size(inside).between(1, limit) & ~greeting
-
-    good = F.filter(candidates, valid)
-    ranked = F.transform(good, lambda c, i: F.struct(rank[c["source"]].alias("p"), (-F.coalesce(c["score"], F.lit(-1.0))).alias("s"), i.alias("i"), c.alias("c")))
-    best = F.filter(ranked, lambda r: ~F.exists(ranked, lambda o: (o["c"]["label"] == r["c"]["label"]) & (o["c"]["start"] == r["c"]["start"]) & (o["c"]["end"] == r["c"]["end"]) & (F.struct(o["p"], o["s"], o["i"]) < F.struct(r["p"], r["s"], r["i"]))))
-    order = F.array_sort(F.transform(best, lambda r: F.struct(r["p"].alias("p"), r["c"]["start"].alias("start"), (-r["c"]["end"]).alias("e"), r["c"]["label"].alias("l"), r["c"]["source"].alias("src"), r["c"]["end"].alias("end"), r["c"]["score"].alias("score"), r["c"]["evidence"].alias("evidence"))))
+        aligned = F.exists(t, lambda x: x["start"] == c["start"]) & F.exists(t, lambda x: x["end"] == c["end"])
+        greeting = (c["label"] == "PER") & F.exists(t, lambda x: (c["start"] <= x["start"]) & (x["end"] <= c["end"]) & _in(x["key"], L.GREETINGS))
+        ok = aligned & F.size(inside).between(1, limit) & ~greeting
+        return F.struct(ok.alias("ok"), rank[c["source"]].alias("p"), (-F.coalesce(c["score"], F.lit(-1.0))).alias("s"), i.alias("i"), c.alias("c"))
+
+    df = df.withColumn("_checked", F.transform(candidates, checked)).withColumn("_good", F.filter("_checked", lambda r: r["ok"]))
+    same = lambda o, r: (o["c"]["label"] == r["c"]["label"]) & (o["c"]["start"] == r["c"]["start"]) & (o["c"]["end"] == r["c"]["end"])
+    better = lambda o, r: F.struct(o["p"], o["s"], o["i"]) < F.struct(r["p"], r["s"], r["i"])
+    df = df.withColumn("_best", F.filter("_good", lambda r: ~F.exists("_good", lambda o: same(o, r) & better(o, r))))
+    order = F.transform("_best", lambda r: F.struct(r["p"].alias("p"), r["c"]["start"].alias("start"), (-r["c"]["end"]).alias("e"), r["c"]["label"].alias("l"), r["c"]["source"].alias("src"), r["c"]["end"].alias("end"), r["c"]["score"].alias("score"), r["c"]["evidence"].alias("evidence")))
+    df = df.withColumn("_order", F.array_sort(order))
     kind = "array<struct<p:int,start:int,e:int,l:string,src:string,end:int,score:double,evidence:array<string>>>"
-    kept = greedy(order, kind)
-    out = F.transform(kept, lambda k: F.struct(k["start"].alias("start"), k["end"].alias("end"), k["l"].alias("label"), k["src"].alias("source"), k["score"].alias("score"), k["evidence"].alias("evidence")))
-    return F.array_sort(out)
+    df = df.withColumn("_taken", greedy(F.col("_order"), kind))
+    final = F.transform("_taken", lambda k: F.struct(k["start"].alias("start"), k["end"].alias("end"), k["l"].alias("label"), k["src"].alias("source"), k["score"].alias("score"), k["evidence"].alias("evidence")))
+    return df.withColumn(out, F.array_sort(final)).drop("_checked", "_good", "_best", "_order", "_taken")
 
 
 def with_canonical(text: Column, spans: Column) -> Column:
@@ -318,9 +318,14 @@ def with_canonical(text: Column, spans: Column) -> Column:
 
 
 def extract(df: DataFrame, text: str, model: str, out: str = "entities") -> DataFrame:
-    """SPN12: all rules and the model's entities, resolved and with canonical names, as an array column."""
-    t = df.withColumn("_tokens", S.word_tokens(F.col(text)))
-    k, m = F.col("_tokens"), F.coalesce(F.col(model), F.array().cast("array<struct<text:string,label:string,start:int,end:int,score:double>>"))
-    parts = [temporal_candidates(k), phrase_head_candidates(k), phrase_candidates(k), introduction_candidates(k), boundary_candidates(k, m), model_candidates(m), relation_candidates(k)]
-    t = t.withColumn("_cands", F.concat(*parts))
-    return t.withColumn(out, with_canonical(F.col(text), resolve(k, F.col("_cands")))).drop("_tokens", "_cands")
+    """SPN12: all rules and the model's entities, resolved and with canonical names, as an array column.
+
+    A null text has no entities, a null model list counts as empty.
+    """
+    none = F.array().cast("array<struct<text:string,label:string,start:int,end:int,score:double>>")
+    t = df.withColumn("_tokens", S.word_tokens(F.col(text))).withColumn("_model", F.coalesce(F.col(model), none))
+    t = with_temporal(t, "_tokens", "_temporal")
+    k, m = F.col("_tokens"), F.col("_model")
+    parts = [F.col("_temporal"), phrase_head_candidates(k), phrase_candidates(k), introduction_candidates(k), boundary_candidates(k, m), model_candidates(m), relation_candidates(k)]
+    t = with_resolved(t.withColumn("_cands", F.concat(*parts)), "_tokens", "_cands", "_final")
+    return t.withColumn(out, with_canonical(F.col(text), F.col("_final"))).drop("_tokens", "_model", "_temporal", "_cands", "_final")
