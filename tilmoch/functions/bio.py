@@ -10,8 +10,8 @@ from tilmoch.functions import text as S
 from tilmoch.functions.numbers import year_words
 
 TRANSFORM_ORDER = ["lowercase", "remove_punctuation", "apostrophe_representation", "reduce_capitalization", "hyphen_spacing", "colon_spacing"]
-EDGE_PUNCTUATION = r"^[.,!?;…]*$"
-SPOKEN_PUNCTUATION = r"^[.,!?;:…()\[\]{}\"“”‘’]+$"
+EDGE_PUNCTUATION = r"^[.,!?;…]*\z"
+SPOKEN_PUNCTUATION = r"^[.,!?;:…()\[\]{}\"“”‘’]+\z"
 SPEECH_FILLERS = ["am", "um", "ee"]
 
 Pair = tuple[Column, Column]
