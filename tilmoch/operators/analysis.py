@@ -140,14 +140,14 @@ def with_view(df: DataFrame, text: str, out: str = "view") -> DataFrame:
     are joined with single blanks, none before closing punctuation, and carry their
     place in the analysis text and in the display text.
     """
-    df = df.withColumn("_u", F.transform(S.lexical_units(F.col(text)), lambda u: F.struct(u["text"].alias("text"), u["start"].alias("start"), u["end"].alias("end"), S.plain_comparison_key(u["text"]).alias("key"))))
-    df = df.withColumn("_tk", S.word_tokens(F.col(text)))
-    u = F.col("_u")
-    df = df.withColumn("_r", F.array_sort(F.concat(person_replacements(u), head_replacements(u, F.col("_tk")), temporal_replacements(u), filler_replacements(u))))
-    df = df.withColumn("_taken", greedy(F.col("_r"), REPL))
-    identity = F.filter(F.transform("_u", lambda x, i: F.when(~F.exists("_taken", lambda r: (r["start"] <= i) & (i < r["end"])), F.struct(F.lit(9).alias("p"), i.alias("start"), F.lit(-1).alias("neg"), (i + 1).alias("end"), x["text"].alias("text"), F.lit("identity").alias("kind"), F.lit(1.0).alias("confidence"), x["start"].alias("source_start"), x["end"].alias("source_end")))), lambda r: r.isNotNull()).cast(REPL)
-    df = df.withColumn("_all", F.concat("_taken", identity))
-    df = df.withColumn("_seq", F.array_sort(F.transform("_all", lambda r: F.struct(r["start"].alias("at"), r.alias("r")))))
+    df = df.withColumn("_vw_u", F.transform(S.lexical_units(F.col(text)), lambda u: F.struct(u["text"].alias("text"), u["start"].alias("start"), u["end"].alias("end"), S.plain_comparison_key(u["text"]).alias("key"))))
+    df = df.withColumn("_vw_tk", S.word_tokens(F.col(text)))
+    u = F.col("_vw_u")
+    df = df.withColumn("_vw_r", F.array_sort(F.concat(person_replacements(u), head_replacements(u, F.col("_vw_tk")), temporal_replacements(u), filler_replacements(u))))
+    df = df.withColumn("_vw_taken", greedy(F.col("_vw_r"), REPL))
+    identity = F.filter(F.transform("_vw_u", lambda x, i: F.when(~F.exists("_vw_taken", lambda r: (r["start"] <= i) & (i < r["end"])), F.struct(F.lit(9).alias("p"), i.alias("start"), F.lit(-1).alias("neg"), (i + 1).alias("end"), x["text"].alias("text"), F.lit("identity").alias("kind"), F.lit(1.0).alias("confidence"), x["start"].alias("source_start"), x["end"].alias("source_end")))), lambda r: r.isNotNull()).cast(REPL)
+    df = df.withColumn("_vw_all", F.concat("_vw_taken", identity))
+    df = df.withColumn("_vw_seq", F.array_sort(F.transform("_vw_all", lambda r: F.struct(r["start"].alias("at"), r.alias("r")))))
     zero = F.struct(F.lit(0).alias("end"), F.array().cast(PIECE).alias("pieces"))
 
     def render(acc: Column, x: Column) -> Column:
@@ -157,9 +157,9 @@ def with_view(df: DataFrame, text: str, out: str = "view") -> DataFrame:
         piece = F.struct(r["text"].alias("text"), s.alias("analysis_start"), e.alias("analysis_end"), r["source_start"].alias("source_start"), r["source_end"].alias("source_end"), r["kind"].alias("kind"), r["confidence"].alias("confidence"), (r["kind"] == "filler_comma").alias("hard"))
         return F.struct(e.alias("end"), F.concat(acc["pieces"], F.array(piece)).cast(PIECE).alias("pieces"))
 
-    df = df.withColumn("_done", F.aggregate("_seq", zero, render)["pieces"])
-    text_of = F.aggregate("_done", F.lit(""), lambda acc, p: F.concat(F.rpad(acc, p["analysis_start"], " "), p["text"]))
-    return df.withColumn(out, F.struct(text_of.alias("analysis_text"), F.col("_done").alias("pieces"))).drop("_u", "_tk", "_r", "_taken", "_all", "_seq", "_done")
+    df = df.withColumn("_vw_done", F.aggregate("_vw_seq", zero, render)["pieces"])
+    text_of = F.aggregate("_vw_done", F.lit(""), lambda acc, p: F.concat(F.rpad(acc, p["analysis_start"], " "), p["text"]))
+    return df.withColumn(out, F.struct(text_of.alias("analysis_text"), F.col("_vw_done").alias("pieces"))).drop("_vw_u", "_vw_tk", "_vw_r", "_vw_taken", "_vw_all", "_vw_seq", "_vw_done")
 
 
 def projected(view: Column, start: Column, end: Column) -> Column:
@@ -177,13 +177,13 @@ def with_admitted(df: DataFrame, view: str, entities: str, tokens: str, dates: s
     fits their label; a DATE is completed to the smallest temporal candidate around it.
     """
     v = F.col(view)
-    df = df.withColumn("_heads", phrase_head_candidates(F.col(tokens)))
+    df = df.withColumn("_ad_heads", phrase_head_candidates(F.col(tokens)))
 
     def read(e: Column) -> Column:
         kinds = F.array_sort(F.array_distinct(F.transform(F.filter(v["pieces"], lambda p: (p["analysis_start"] < e["end"]) & (e["start"] < p["analysis_end"])), lambda p: p["kind"])))
         return F.struct(e["label"].alias("label"), e["score"].alias("score"), projected(v, e["start"], e["end"]).alias("s"), kinds.alias("kinds"))
 
-    df = df.withColumn("_read", F.filter(F.transform(F.filter(entities, lambda e: e["score"] >= threshold), read), lambda r: r["s"].isNotNull()))
+    df = df.withColumn("_ad_read", F.filter(F.transform(F.filter(entities, lambda e: e["score"] >= threshold), read), lambda r: r["s"].isNotNull()))
 
     def complete(r: Column) -> Column:
         around = F.filter(dates, lambda d: (d["start"] <= r["s"]["start"]) & (r["s"]["end"] <= d["end"]))
@@ -191,11 +191,11 @@ def with_admitted(df: DataFrame, view: str, entities: str, tokens: str, dates: s
         grow = (r["label"] == "DATE") & F.array_contains(r["kinds"], "temporal_itn") & best.isNotNull()
         s, e = F.when(grow, best["start"]).otherwise(r["s"]["start"]), F.when(grow, best["end"]).otherwise(r["s"]["end"])
         has = lambda k: F.array_contains(r["kinds"], k)
-        named = F.exists("_heads", lambda h: (h["label"] == r["label"]) & (h["start"] == s) & (h["end"] == e))
+        named = F.exists("_ad_heads", lambda h: (h["label"] == r["label"]) & (h["start"] == s) & (h["end"] == e))
         fits = (
             ((r["label"] == "DATE") & has("temporal_itn")) | ((r["label"] == "PER") & (has("person_phrase") | has("person_name"))) | ((r["label"] == "ORG") & has("organization_case"))
             | ((r["label"] == "LOC") & has("location_case")) | (r["label"].isin("ORG", "LOC") & has("person_phrase") & named)
         )
         return F.when(fits, candidate(r["label"], s, e, "normalized_clean_model", F.concat(F.array(F.lit("analysis_normalization")), r["kinds"]), r["score"]))
 
-    return df.withColumn(out, F.array_compact(F.transform("_read", complete))).drop("_heads", "_read")
+    return df.withColumn(out, F.array_compact(F.transform("_ad_read", complete))).drop("_ad_heads", "_ad_read")

@@ -149,7 +149,7 @@ def compliance(samples: DataFrame, least_mentions: int = 30) -> DataFrame:
         F.when(F.size(missing(CONTENT)) > 0, F.concat(F.lit("missing required content coverage: "), F.array_join(missing(CONTENT), ", "))),
         F.when(F.col("bad_durations") > 0, F.concat(F.lit("audio durations outside 5 to 20 seconds: "), F.col("bad_durations").cast("string"))),
     )
-    return x.drop("seen").withColumn("issues", F.array_compact(issues)).withColumn("compliant", F.size("issues") == 0)
+    return x.withColumn("issues", F.array_compact(issues)).drop("seen").withColumn("compliant", F.size("issues") == 0)
 
 
 def collection_issues(df: DataFrame) -> DataFrame:

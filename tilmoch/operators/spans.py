@@ -118,15 +118,15 @@ def with_temporal(df: DataFrame, tokens: str, out: str) -> DataFrame:
     is a column of its own, so that nothing is evaluated twice.
     """
     t = F.col(tokens)
-    df = df.withColumn("_years", anchored_years(t)).withColumn("_classes", token_classes(t))
-    df = df.withColumn("_letters", F.transform("_classes", lambda c, i: F.when(F.exists("_years", lambda y: y["last"] == i), "Y").otherwise(c)))
-    df = df.withColumn("_string", F.array_join("_letters", ""))
+    df = df.withColumn("_tp_years", anchored_years(t)).withColumn("_tp_classes", token_classes(t))
+    df = df.withColumn("_tp_letters", F.transform("_tp_classes", lambda c, i: F.when(F.exists("_tp_years", lambda y: y["last"] == i), "Y").otherwise(c)))
+    df = df.withColumn("_tp_string", F.array_join("_tp_letters", ""))
     pattern = F.lit(f"(.*?)({GRAMMAR})")
-    df = df.withColumn("_m", S.zip2(F.regexp_extract_all("_string", pattern, F.lit(1)), F.regexp_extract_all("_string", pattern, F.lit(2))))
-    ends = F.aggregate("_m", F.array(F.lit(0)), lambda acc, p: F.concat(acc, F.array(F.element_at(acc, -1) + F.length(p["0"]) + F.length(p["1"]))))
-    df = df.withColumn("_ends", F.slice(ends, 2, F.size("_m")))
-    df = df.withColumn("_raw", F.zip_with("_m", "_ends", lambda p, e: F.struct((e - F.length(p["1"])).alias("first"), (e - 1).alias("last"), p["1"].alias("h"))))
-    letters, years = F.col("_letters"), F.col("_years")
+    df = df.withColumn("_tp_m", S.zip2(F.regexp_extract_all("_tp_string", pattern, F.lit(1)), F.regexp_extract_all("_tp_string", pattern, F.lit(2))))
+    ends = F.aggregate("_tp_m", F.array(F.lit(0)), lambda acc, p: F.concat(acc, F.array(F.element_at(acc, -1) + F.length(p["0"]) + F.length(p["1"]))))
+    df = df.withColumn("_tp_ends", F.slice(ends, 2, F.size("_tp_m")))
+    df = df.withColumn("_tp_raw", F.zip_with("_tp_m", "_tp_ends", lambda p, e: F.struct((e - F.length(p["1"])).alias("first"), (e - 1).alias("last"), p["1"].alias("h"))))
+    letters, years = F.col("_tp_letters"), F.col("_tp_years")
     before = lambda k: F.when(k >= 0, F.get(letters, F.when(k >= 0, k)))
 
     def finish(s: Column) -> Column:
@@ -142,12 +142,12 @@ def with_temporal(df: DataFrame, tokens: str, out: str) -> DataFrame:
         after = F.when(h != "Y", F.get(F.filter(years, lambda y: y["first"] == s["last"] + 1), F.lit(0))["last"])
         return F.struct(first.alias("first"), F.coalesce(after, s["last"]).alias("last"), F.array_compact(F.array(kind, F.when(after.isNotNull(), "anchored_year"))).alias("evidence"))
 
-    df = df.withColumn("_spans", F.transform("_raw", finish).cast(_SPANS))
+    df = df.withColumn("_tp_spans", F.transform("_tp_raw", finish).cast(_SPANS))
     # a year phrase that a span has taken is no span of its own
-    kept = F.aggregate("_spans", F.array().cast(_SPANS), lambda acc, s: F.when(F.exists(acc, lambda o: o["last"] >= s["last"]), acc).otherwise(F.concat(acc, F.array(s))))
-    df = df.withColumn("_kept", kept)
-    cands = F.transform("_kept", lambda s: candidate("DATE", _at(t, s["first"])["start"], _at(t, s["last"])["end"], "temporal_grammar", s["evidence"])).cast(CANDIDATE)
-    return df.withColumn(out, cands).drop("_years", "_classes", "_letters", "_string", "_m", "_ends", "_raw", "_spans", "_kept")
+    kept = F.aggregate("_tp_spans", F.array().cast(_SPANS), lambda acc, s: F.when(F.exists(acc, lambda o: o["last"] >= s["last"]), acc).otherwise(F.concat(acc, F.array(s))))
+    df = df.withColumn("_tp_kept", kept)
+    cands = F.transform("_tp_kept", lambda s: candidate("DATE", _at(t, s["first"])["start"], _at(t, s["last"])["end"], "temporal_grammar", s["evidence"])).cast(CANDIDATE)
+    return df.withColumn(out, cands).drop("_tp_years", "_tp_classes", "_tp_letters", "_tp_string", "_tp_m", "_tp_ends", "_tp_raw", "_tp_spans", "_tp_kept")
 
 
 # --- persons and heads ------------------------------------------------------
@@ -279,16 +279,16 @@ def with_resolved(df: DataFrame, tokens: str, candidates: str, out: str) -> Data
         ok = aligned & F.size(inside).between(1, limit) & ~greeting
         return F.struct(ok.alias("ok"), rank[c["source"]].alias("p"), (-F.coalesce(c["score"], F.lit(-1.0))).alias("s"), i.alias("i"), c.alias("c"))
 
-    df = df.withColumn("_checked", F.transform(candidates, checked)).withColumn("_good", F.filter("_checked", lambda r: r["ok"]))
+    df = df.withColumn("_rs_checked", F.transform(candidates, checked)).withColumn("_rs_good", F.filter("_rs_checked", lambda r: r["ok"]))
     same = lambda o, r: (o["c"]["label"] == r["c"]["label"]) & (o["c"]["start"] == r["c"]["start"]) & (o["c"]["end"] == r["c"]["end"])
     better = lambda o, r: F.struct(o["p"], o["s"], o["i"]) < F.struct(r["p"], r["s"], r["i"])
-    df = df.withColumn("_best", F.filter("_good", lambda r: ~F.exists("_good", lambda o: same(o, r) & better(o, r))))
-    order = F.transform("_best", lambda r: F.struct(r["p"].alias("p"), r["c"]["start"].alias("start"), (-r["c"]["end"]).alias("e"), r["c"]["label"].alias("l"), r["c"]["source"].alias("src"), r["c"]["end"].alias("end"), r["c"]["score"].alias("score"), r["c"]["evidence"].alias("evidence")))
-    df = df.withColumn("_order", F.array_sort(order))
+    df = df.withColumn("_rs_best", F.filter("_rs_good", lambda r: ~F.exists("_rs_good", lambda o: same(o, r) & better(o, r))))
+    order = F.transform("_rs_best", lambda r: F.struct(r["p"].alias("p"), r["c"]["start"].alias("start"), (-r["c"]["end"]).alias("e"), r["c"]["label"].alias("l"), r["c"]["source"].alias("src"), r["c"]["end"].alias("end"), r["c"]["score"].alias("score"), r["c"]["evidence"].alias("evidence")))
+    df = df.withColumn("_rs_order", F.array_sort(order))
     kind = "array<struct<p:int,start:int,e:int,l:string,src:string,end:int,score:double,evidence:array<string>>>"
-    df = df.withColumn("_taken", greedy(F.col("_order"), kind))
-    final = F.transform("_taken", lambda k: F.struct(k["start"].alias("start"), k["end"].alias("end"), k["l"].alias("label"), k["src"].alias("source"), k["score"].alias("score"), k["evidence"].alias("evidence")))
-    return df.withColumn(out, F.array_sort(final)).drop("_checked", "_good", "_best", "_order", "_taken")
+    df = df.withColumn("_rs_taken", greedy(F.col("_rs_order"), kind))
+    final = F.transform("_rs_taken", lambda k: F.struct(k["start"].alias("start"), k["end"].alias("end"), k["l"].alias("label"), k["src"].alias("source"), k["score"].alias("score"), k["evidence"].alias("evidence")))
+    return df.withColumn(out, F.array_sort(final)).drop("_rs_checked", "_rs_good", "_rs_best", "_rs_order", "_rs_taken")
 
 
 def with_canonical(text: Column, spans: Column) -> Column:
@@ -320,12 +320,14 @@ def with_canonical(text: Column, spans: Column) -> Column:
 def extract(df: DataFrame, text: str, model: str, out: str = "entities") -> DataFrame:
     """SPN12: all rules and the model's entities, resolved and with canonical names, as an array column.
 
-    A null text has no entities, a null model list counts as empty.
+    A null text has no entities, a null model list counts as empty. To get rows, use
+    the outer generators and filter after them: for the inner ones the optimizer
+    pushes a size filter below all the steps and copies them into it.
     """
     none = F.array().cast("array<struct<text:string,label:string,start:int,end:int,score:double>>")
-    t = df.withColumn("_tokens", S.word_tokens(F.col(text))).withColumn("_model", F.coalesce(F.col(model), none))
-    t = with_temporal(t, "_tokens", "_temporal")
-    k, m = F.col("_tokens"), F.col("_model")
-    parts = [F.col("_temporal"), phrase_head_candidates(k), phrase_candidates(k), introduction_candidates(k), boundary_candidates(k, m), model_candidates(m), relation_candidates(k)]
-    t = with_resolved(t.withColumn("_cands", F.concat(*parts)), "_tokens", "_cands", "_final")
-    return t.withColumn(out, with_canonical(F.col(text), F.col("_final"))).drop("_tokens", "_model", "_temporal", "_cands", "_final")
+    t = df.withColumn("_ex_tokens", S.word_tokens(F.col(text))).withColumn("_ex_model", F.coalesce(F.col(model), none))
+    t = with_temporal(t, "_ex_tokens", "_ex_temporal")
+    k, m = F.col("_ex_tokens"), F.col("_ex_model")
+    parts = [F.col("_ex_temporal"), phrase_head_candidates(k), phrase_candidates(k), introduction_candidates(k), boundary_candidates(k, m), model_candidates(m), relation_candidates(k)]
+    t = with_resolved(t.withColumn("_ex_cands", F.concat(*parts)), "_ex_tokens", "_ex_cands", "_ex_final")
+    return t.withColumn(out, with_canonical(F.col(text), F.col("_ex_final"))).drop("_ex_tokens", "_ex_model", "_ex_temporal", "_ex_cands", "_ex_final")
