@@ -244,8 +244,8 @@ def _compose(cps: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     ccc = t.ccc[cps]
     at = np.flatnonzero(base)
     size = np.diff(np.append(at, len(cps)))
-    if (size > 2).any():  # canonical order: stable by class within each run, Hangul vowels (class 0) first
-        order = np.lexsort((np.arange(len(cps)), np.where(base, -1, ccc.astype(np.int16)), run))
+    if (size > 2).any() or (mark & base).any():  # canonical order: stable by class within each run, Hangul vowels (class 0) first
+        order = np.lexsort((np.arange(len(cps)), np.where(mark, ccc.astype(np.int16), -1), run))
         cps, ccc = cps[order], ccc[order]
     cur = cps[at].astype(np.int64)
     last = np.full(len(at), -1, np.int16)

@@ -28,7 +28,7 @@ PARTS = ["chars", "tokens", "words", "word_chars", "numbers", "symbol_tokens", "
 # what a document adds up from its lines
 LINES = [
     "lines", "ended", "bullet_lines", "short_lines", "table_lines", "list_lines", "leader_lines",
-    "bullet_chars", "short_chars", "table_chars", "list_chars", "prose_chars", "blank_lines",
+    "bullet_chars", "short_chars", "table_chars", "list_chars", "prose_chars",
 ]
 _P = {n: i for i, n in enumerate(PARTS)}
 _L = {n: i for i, n in enumerate(LINES)}
@@ -179,7 +179,7 @@ def line_sums(parts: np.ndarray, bullet: np.ndarray, ended: np.ndarray) -> np.nd
     bulleted = some & ~table & ~listed & bullet & ((tokens <= 15) | (p["ends"] <= 1))  # running text after a mark is no item
     short = some & ~table & ~listed & ~bulleted & ~sentence & (tokens <= 5)
     prose = some & ~(table | listed | bulleted | short)
-    cols = [some, some & ended, bulleted, short, table, listed, leader, *(np.where(x, chars, 0) for x in (bulleted, short, table, listed, prose)), ~some]
+    cols = [some, some & ended, bulleted, short, table, listed, leader, *(np.where(x, chars, 0) for x in (bulleted, short, table, listed, prose))]
     return np.stack([c.astype(np.int64) for c in cols], axis=1)
 
 
@@ -414,7 +414,7 @@ def ratios(counts: DataFrame) -> DataFrame:
         | ((mean > 18) & (c["chars"] >= 40)) | ((c["letters"] == 0) & (c["digits"] == 0)) | (strange & (share["prose"] > 0.5))
     )
     structured = share["table"] + share["list"] + share["bullet"] + short > 0.5
-    kind = F.when(c["chars"] == 0, None).when(structured & (share["table"] >= share["list"] + share["bullet"] + short) & ~repeated & (c["noise"] <= 0.02 * some), "table").when(junk, "junk").when(structured, "list").otherwise("prose")
+    kind = F.when(c["chars"] == 0, None).when(c["symbols"] > 0.45 * some, "junk").when(structured & (share["table"] >= share["list"] + share["bullet"] + short) & ~repeated & (c["noise"] <= 0.02 * some), "table").when(junk, "junk").when(structured, "list").otherwise("prose")
     per_word = F.when(c["all_words"] > 0, c["common"] / c["all_words"])
     return counts.select(
         "key", c["words"], c["lines"], c["chars"],

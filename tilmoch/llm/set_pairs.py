@@ -197,11 +197,11 @@ def verified(pairs: DataFrame, sets: DataFrame, bound: float) -> DataFrame:
     return both.mapInArrow(check, "a bigint, b bigint")
 
 
-def heavy_words(sets: DataFrame, rows: int, share: float) -> dict[int, int]:
-    """Document counts of the words that occur in more than share of the sets.
+def heavy_words(sets: DataFrame, rows: int, share: float, least: int = 1) -> dict[int, int]:
+    """Document counts of the words that occur in more than share of the sets and in more than least.
 
     At most (mean set size) / share words can, whatever the number of sets, so the
     result has a bound that does not grow with the data.
     """
     counts = sets.select(F.explode("w").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
-    return {r["word"]: r["n"] for r in counts.where(F.col("n") > F.lit(max(1.0, share * rows))).toLocalIterator()}
+    return {r["word"]: r["n"] for r in counts.where(F.col("n") > F.lit(max(float(least), share * rows))).toLocalIterator()}
