@@ -97,7 +97,8 @@ def cross_split_pairs(df: DataFrame, key: str, tokens: Column, is_eval: Column,
     empty result; other columns are not read.
     """
     base = df.select(F.col(f"`{key}`").alias("id"), word_set(joined(tokens)).alias("s"), is_eval.cast("int").alias("side")).where("id IS NOT NULL AND side IS NOT NULL AND s.cls <> 0")
-    classes = base.groupBy(F.col("s.cls").alias("cls"), "side").agg(F.first("s.w").alias("w"))
+    base = shared_table(base.select("id", "side", "s.cls", "s.w"), "records")  # read for the classes, and for the ids without the words
+    classes = base.groupBy("cls", "side").agg(F.first("w").alias("w"))
     sets = shared_table(classes.select("cls", "side", F.monotonically_increasing_id().alias("nid"), "w"), "strings")
     heavy = heavy_words(sets, sets.count(), HEAVY_SHARE)
     rows = segment_rows(sets, heavy, threshold)
@@ -109,7 +110,7 @@ def cross_split_pairs(df: DataFrame, key: str, tokens: Column, is_eval: Column,
     names = sets.select("nid", "cls", "side")
     near = near.join(names.select(F.col("nid").alias("a"), F.col("cls").alias("ca"), "side"), "a").join(names.select(F.col("nid").alias("b"), F.col("cls").alias("cb")), "b")
     near = shared_table(near.select(F.when(F.col("side") == 1, F.col("ca")).otherwise(F.col("cb")).alias("ce"), F.when(F.col("side") == 1, F.col("cb")).otherwise(F.col("ca")).alias("ct")), "near")
-    members = base.select("id", F.col("s.cls").alias("cls"), "side").distinct()
+    members = base.select("id", "cls", "side").distinct()
     e = members.where("side = 1").select(F.col("cls").alias("ce"), F.col("id").alias("eval_id"))
     t = members.where("side = 0").select(F.col("cls").alias("ct"), F.col("id").alias("train_id"))
     return near.join(e, "ce").join(t, "ct").select("eval_id", "train_id")
