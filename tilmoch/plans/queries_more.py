@@ -12,10 +12,12 @@ from tilmoch.functions import bio as B
 from tilmoch.functions import lexicon as L
 from tilmoch.functions import text as S
 from tilmoch.operators import analysis as A
+from tilmoch.operators import audio as U
 from tilmoch.operators import corpus as K
 from tilmoch.operators import metrics as M
 from tilmoch.operators import reports as R
 from tilmoch.operators import spans as P
+from tilmoch.operators import templates as TP
 from tilmoch.plans import pipeline as PL
 from tilmoch.plans.queries import NER, STT, ner, sql_of, q, query, sql_evaluation, sql_full_text, sql_list, sql_runtime, stt, table
 from tilmoch.session import checkpoint_dir
@@ -456,3 +458,129 @@ def snk3_csv_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     io.write_csv(x, path, ["sample_id", "seen"], "sample_id")
     return spark.read.schema("sample_id string, seen boolean").option("header", True).csv(path)
 
+
+
+# --- templates and audio ----------------------------------------------------
+
+
+@query(
+    f"""
+    SELECT * FROM (VALUES ('per_intro_or_relation', 60), ('per_one_edit_intro', {len([n for n in L.PERSON_NAMES if n != 'Doston']) + 1}), ('spoken_calendar', 60), ('relative_calendar', 6), ('spoken_year', 165), ('per_train_inventory', 64),
+        ('entity_boundary_curriculum', 288), ('entity_head_hard_negative', 6), ('eponymic_loc_per_contrast', 120), ('hard_negative', 65)) v(template, n)
+    """
+)
+def arr20_templates(spark: SparkSession, sf: str) -> DataFrame:
+    """ARR20: authored sentences per kind; all are strict BIO."""
+    t = TP.authored_templates(spark, ner(spark, sf).where("size(tokens) = size(ner_tags)"))
+    return t.where(B.bio_reason(F.col("tokens"), F.col("ner_tags")).isNull()).groupBy("template").agg(F.count("*").alias("n"))
+
+
+@query("SELECT * FROM (VALUES (1, '3000'), (2, '2000,4000,6000,10000')) v(id, ends)")
+def agg27_quiet_cuts(spark: SparkSession, sf: str) -> DataFrame:
+    """AGG27: a short recording stays whole; in a long one each cut falls into the first pause of the second half of a chunk."""
+    wave = lambda n: F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.when((i % 1000 < 200) | (i % 1000 >= 800), 0.0).otherwise(F.sin(i * 0.7)))
+    x = spark.range(1, 3).select("id", F.when(F.col("id") == 1, wave(3000)).otherwise(wave(10000)).alias("s"))
+    x = x.select("id", U.quiet_cuts(F.col("s"), F.lit(1000), F.when(F.col("id") == 1, F.lit(5.0)).otherwise(F.lit(4.0))).alias("c"))
+    return x.select("id", F.array_join(F.transform("c", lambda v: (F.round(v / 1000) * 1000).cast("int")), ",").alias("ends"))
+
+
+@query("SELECT * FROM (VALUES (1, '0.5,-0.25', '1.0,-0.5')) v(id, mixed, scaled)")
+def aud2_samples(spark: SparkSession, sf: str) -> DataFrame:
+    """AUD2: two channels mixed down, and a recording above full scale."""
+    x = spark.createDataFrame([(1, [[1.0, 0.0], [-0.5, 0.0]], [2.0, -1.0])], "id int, c array<array<double>>, s array<double>")
+    return x.select("id", F.array_join(U.mono(F.col("c")), ",").alias("mixed"), F.array_join(U.peak_scaled(F.col("s")), ",").alias("scaled"))
+
+
+# --- subword labels, re-aggregation, held-out phrases ------------------------
+
+_IDS = "{" + ", ".join(f"{q(n)}: {i}" for i, n in enumerate(L.BIO_LABELS)) + "}"
+
+
+def _word_ids(tokens: Column) -> Column:
+    """Stand-in subwords of at most four characters, with a special one at either end."""
+    own = F.flatten(F.transform(tokens, lambda t, i: F.array_repeat(i, F.greatest(F.lit(1), F.ceil(F.length(t) / 4)).cast("int"))))
+    return F.concat(F.array(F.lit(None).cast("int")), own, F.array(F.lit(None).cast("int")))
+
+
+@query(
+    f"""
+    SELECT id, sum(greatest(1, ceil(length(t) / 4)))::BIGINT + 2 AS subwords, count(*) AS labelled, sum(list_position({sql_list(L.BIO_LABELS)}, g) - 1)::BIGINT AS label_sum
+    FROM (SELECT id, unnest(tokens) AS t, unnest(ner_tags) AS g FROM {NER} WHERE len(tokens) = len(ner_tags)) GROUP BY id
+    """
+)
+def arr17_labels(spark: SparkSession, sf: str) -> DataFrame:
+    """ARR17, ARR19: subword label ids; the first subword of a word is labelled, all others are -100."""
+    x = ner(spark, sf).where("size(tokens) = size(ner_tags)").withColumn("w", _word_ids(F.col("tokens"))).withColumn("l", B.align_labels(F.col("w"), F.col("ner_tags")))
+    real = F.filter("l", lambda v: v >= 0)
+    return x.select("id", F.size("w").cast("bigint").alias("subwords"), F.size(real).cast("bigint").alias("labelled"), F.aggregate(real, F.lit(0), lambda a, v: a + v).cast("bigint").alias("label_sum"))
+
+
+@query(
+    f"""
+    WITH t AS (SELECT id, g, 1 + coalesce(sum(n) OVER (PARTITION BY id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos
+        FROM (SELECT id, g, i, greatest(1, ceil(length(t) / 4)) AS n FROM (SELECT id, unnest(tokens) AS t, unnest(ner_tags) AS g, generate_subscripts(tokens, 1) AS i FROM {NER} WHERE len(tokens) = len(ner_tags))))
+    SELECT count(DISTINCT id) FILTER (WHERE pos >= 48) AS truncated, count(*) FILTER (WHERE pos >= 48) AS lost_words, count(*) FILTER (WHERE pos >= 48 AND g <> 'O') AS lost_entity_words FROM t
+    """
+)
+def arr18_truncation(spark: SparkSession, sf: str) -> DataFrame:
+    """ARR18: records cut after 48 subwords, and the words and entity words that lose their label."""
+    x = ner(spark, sf).where("size(tokens) = size(ner_tags)").select("ner_tags", _word_ids(F.col("tokens")).alias("w"))
+    kept = F.size(F.array_distinct(F.filter(F.slice("w", 1, 48), lambda i: i.isNotNull())))
+    x = x.select(F.slice("ner_tags", kept + 1, F.greatest(F.size("ner_tags") - kept, F.lit(0))).alias("lost"))
+    return x.agg(F.count_if(F.size("lost") > 0).alias("truncated"), F.sum(F.size("lost")).alias("lost_words"), F.sum(F.size(F.filter("lost", lambda t: t != "O"))).alias("lost_entity_words"))
+
+
+@query(
+    """
+    WITH g AS (SELECT id, e.label AS label, e."start" AS s, e."end" AS t FROM (SELECT id, unnest(entities) AS e FROM speech_ner_eval)), p AS (SELECT id, e.label AS label, e."start" AS s, e."end" AS t FROM (SELECT id, unnest(model_entities) AS e FROM speech_ner_eval)),
+    c AS (SELECT coalesce(a.label, b.label) AS label, coalesce(a.n, 0) AS g, coalesce(b.n, 0) AS p FROM (SELECT id, label, s, t, count(*) AS n FROM g GROUP BY ALL) a FULL JOIN (SELECT id, label, s, t, count(*) AS n FROM p GROUP BY ALL) b ON a.id = b.id AND a.label = b.label AND a.s = b.s AND a.t = b.t)
+    SELECT label, sum(least(g, p))::BIGINT AS tp, sum(greatest(p - g, 0))::BIGINT AS fp, sum(greatest(g - p, 0))::BIGINT AS fn FROM c GROUP BY label
+    """
+)
+def agg12_reaggregated(spark: SparkSession, sf: str) -> DataFrame:
+    """AGG12: counts per text and label, summed over texts; no mean of per-text scores."""
+    from tilmoch.plans.queries import _gold_pred
+
+    gold, pred = _gold_pred(spark, sf)
+    per = M.span_counts(gold, pred, ["id", "label"], ["id", "label", "start", "end"])
+    return per.groupBy("label").agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")])
+
+
+@query("SELECT 236::BIGINT AS records, 236::BIGINT AS exact, 0::BIGINT AS partial")
+def agg19_year_phrases(spark: SparkSession, sf: str) -> DataFrame:
+    """AGG19 / DRV8: held-out year phrases that the rules find as one DATE over the whole text, and in part."""
+    from tilmoch.functions import numbers as N
+
+    x = spark.range(1800, 2036).select(F.concat(F.array_join(N.year_words(F.col("id")), " "), F.lit(" yilda")).alias("t")).withColumn("m", F.array().cast(PL.ENTITY))
+    x = P.extract(x, "t", "m").select("t", "entities")
+    date = F.filter("entities", lambda e: e["label"] == "DATE")
+    x = x.select(F.size(date).alias("n"), F.exists(date, lambda e: (e["start"] == 0) & (e["end"] == F.length("t"))).alias("whole"))
+    return x.agg(F.count("*").alias("records"), F.count_if("whole").alias("exact"), F.count_if(~F.col("whole") & (F.col("n") > 0)).alias("partial"))
+
+
+@query(None)
+def agg17_ablation_summary(spark: SparkSession, sf: str) -> DataFrame:
+    """AGG17: surface scores of the rules alone on each model's transcripts, one row per model with the labels' F1 as columns."""
+    x = stt(spark, sf).select("prediction_id", "model_key", F.coalesce("raw_transcript", F.lit("")).alias("t"), "gold_entities").withColumn("m", F.array().cast(PL.ENTITY)).withColumn("n", S.normalize_runtime(F.col("t")))
+    found = P.extract(x, "n", "m").select("prediction_id", "model_key", F.inline_outer("entities")).where("label IS NOT NULL")
+    key = ["model_key", "label"]
+    pred = found.select("prediction_id", *key, S.normalize_evaluation(F.col("text")).alias("surface"))
+    gold = x.select("prediction_id", "model_key", F.explode("gold_entities").alias("e")).select("prediction_id", "model_key", "e.label", S.normalize_evaluation(F.col("e.text")).alias("surface"))
+    c = M.span_counts(gold, pred, key, ["prediction_id", *key, "surface"])
+    c = c.select(*key, "tp", "fp", "fn", *M.f1_columns(F.col("tp"), F.col("fp"), F.col("fn")))
+    return c.groupBy("model_key").pivot("label", L.LABELS).agg(F.first("f1")).na.fill(0.0)
+
+
+@query(None)
+def err4_records(spark: SparkSession, sf: str) -> DataFrame:
+    """ERR4, ERR5: one row per transcript of the primary model with its error categories."""
+    x = stt(spark, sf).where("model_key = 'stt_orta'").select("prediction_id", "gold_transcript", "raw_transcript", "gold_entities", "conditions")
+    x = R.with_stt_errors(x, "gold_transcript", "raw_transcript", "gold_entities", "conditions")
+    return x.select("prediction_id", F.array_join("errors", "; ").alias("errors"))
+
+
+@query(f"SELECT phrase, min(id) AS first_id FROM (SELECT id, lower(array_to_string(tokens[1:2], ' ')) AS phrase FROM {NER} WHERE ner_tags[1] = 'B-PER' AND ner_tags[2] = 'I-PER' AND len(tokens) = len(ner_tags)) GROUP BY phrase ORDER BY first_id, phrase LIMIT 64")
+def top7_first_phrases(spark: SparkSession, sf: str) -> DataFrame:
+    """TOP7: the first 64 opening names by record id, a limit that is the feature."""
+    x = ner(spark, sf).where((F.get("ner_tags", F.lit(0)) == "B-PER") & (F.get("ner_tags", F.lit(1)) == "I-PER") & (F.size("tokens") == F.size("ner_tags")))
+    return x.select("id", F.lower(F.array_join(F.slice("tokens", 1, 2), " ")).alias("phrase")).groupBy("phrase").agg(F.min("id").alias("first_id")).orderBy("first_id", "phrase").limit(64)
