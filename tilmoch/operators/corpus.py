@@ -59,20 +59,25 @@ def stable_sample_preferring(df: DataFrame, cap: int, seed: int, preferred: Colu
 def held_out(df: DataFrame, fraction: float, seed: int, group: str = "source", key: str = "id") -> DataFrame:
     """TOP3: ``part`` is dev for the first rows of each group by stable rank: the rounded share, at least one and never all, none of a single row.
 
-    Group sizes come from an aggregate; the rank of a row within its group is only
-    needed for rows below the cut, which a hash threshold brackets first, so that a
-    group with a third of all rows is not sorted by one task.
+    Group sizes come from an aggregate. A rank is a uniform number, so rows well
+    below the cut's quantile are dev and rows well above it train without any sort;
+    only the narrow band around it is ranked, after the number of rows below it.
+    So a group with a third of all rows is not sorted by one task.
     """
-    n = df.groupBy(group).agg(F.count("*").alias("_n"))
+    n = df.groupBy(F.col(group).alias("_g")).agg(F.count("*").alias("_n"))
     cut = F.when(F.col("_n") >= 2, F.least(F.greatest(F.lit(1), F.bround(F.col("_n") * fraction).cast("bigint")), F.col("_n") - 1)).otherwise(0)
-    sized = df.join(n.withColumn("_cut", cut), df[group].eqNullSafe(n[group])).drop(n[group]).withColumn("_rank", stable_rank(F.col(key), seed))
+    sized = df.join(n.withColumn("_cut", cut), F.col(group).eqNullSafe(F.col("_g"))).withColumn("_rank", stable_rank(F.col(key), seed))
     share = F.conv(F.substring("_rank", 1, 13), 16, 10).cast("double") / 2.0**52
-    # the rank-th smallest of n uniform hashes lies within this bound but with negligible probability; small groups are taken whole
-    bound = F.when(F.col("_n") < 1000, 1.1).otherwise(F.col("_cut") / F.col("_n") + 10 * F.sqrt(F.col("_cut") + 25) / F.col("_n"))
-    near, far = sized.where(share <= bound), sized.where(share > bound)
-    place = F.row_number().over(W.partitionBy(group).orderBy("_rank", key))
-    out = near.withColumn("part", F.when(place <= F.col("_cut"), "dev").otherwise("train")).unionByName(far.withColumn("part", F.lit("train")))
-    return out.drop("_n", "_cut", "_rank")
+    # ten deviations of the rank at the cut: no row outside the band can be on the wrong side but with negligible probability
+    middle, margin = F.col("_cut") / F.col("_n"), 10 * F.sqrt(F.col("_cut") + 25) / F.col("_n")
+    zone = F.when(F.col("_n") < 1000, 1).when(share < middle - margin, 0).when(share <= middle + margin, 1).otherwise(2)
+    sized = sized.withColumn("_zone", zone)
+    below = sized.groupBy(F.col("_g").alias("_bg")).agg(F.count_if(F.col("_zone") == 0).alias("_below"))
+    band = sized.where("_zone = 1").join(below, F.col("_g").eqNullSafe(F.col("_bg")))
+    place = F.col("_below") + F.row_number().over(W.partitionBy("_g").orderBy("_rank", key))
+    band = band.withColumn("part", F.when(place <= F.col("_cut"), "dev").otherwise("train")).drop("_below", "_bg")
+    rest = sized.where("_zone <> 1").withColumn("part", F.when(F.col("_zone") == 0, "dev").otherwise("train"))
+    return band.unionByName(rest).drop("_g", "_n", "_cut", "_rank", "_zone")
 
 
 def split_80_10_10(df: DataFrame, seed: int, key: str = "id") -> DataFrame:
