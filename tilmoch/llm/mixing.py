@@ -12,6 +12,8 @@ from tilmoch.session import shared_table
 
 #: Expected documents per block, and blocks whose left-over documents meet in one node of the tree.
 BLOCK, FAN_IN = 4096, 256
+#: More targets than this are joined by a shuffle.
+MOST_TARGETS = 100_000
 _EPS = 1e-12
 
 
@@ -72,13 +74,15 @@ def mix(docs: DataFrame, targets: DataFrame, total: int | None = None, block: in
     """
     goals = targets.where("target_share > 0 AND max_repeats > 0").groupBy("plan", "source").agg(F.max("target_share").alias("share"), F.max("max_repeats").alias("cap"))
     docs = docs.groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.min("source").alias("source"), F.coalesce(F.max("tokens"), F.lit(0)).cast("bigint").alias("tokens"))
-    docs = shared_table(docs.join(goals.select("source").distinct(), "source", "left_semi"), "sized")
+    # the targets are a parameter table; it is broadcast only after a count, and the documents never are
+    side = F.broadcast if goals.count() <= MOST_TARGETS else (lambda x: x)
+    docs = shared_table(docs.join(side(goals.select("source").distinct()), "source", "left_semi"), "sized")
     have = docs.groupBy("source").agg(F.sum("tokens").alias("have"), F.count("*").alias("n"))
     rate = goals.join(have, "source").where("have > 0")
     plans = rate.groupBy("plan").agg(F.min(F.col("cap") * F.col("have") / F.col("share")).alias("size"))
     size = F.col("size") if total is None else F.lit(float(total))
     rate = rate.join(plans, "plan").select("plan", "source", F.least(F.col("share") * size / F.col("have"), F.col("cap").cast("double")).alias("f"), F.greatest(F.lit(1), F.ceil(F.col("n") / block)).alias("blocks"))
-    rows = docs.join(rate, "source").select("plan", "source", "doc_id", "tokens", F.floor(F.col("f") + 1e-9).alias("base"), "f", "blocks")
+    rows = docs.join(side(rate), "source").select("plan", "source", "doc_id", "tokens", F.floor(F.col("f") + 1e-9).alias("base"), "f", "blocks")
     rows = rows.select("plan", "source", "doc_id", "tokens", F.col("base").cast("bigint").alias("base"), F.greatest(F.lit(0.0), F.col("f") - F.col("base")).alias("p"), F.pmod(F.xxhash64("doc_id"), F.col("blocks")).alias("node"))
     schema = rows.schema
     names = schema.names
