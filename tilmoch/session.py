@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -48,3 +49,20 @@ def shared_table(df: DataFrame, name: str, partition_by: list[str] | None = None
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the workers where they cannot import it by path: once per application, before the first query."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    sc = spark.sparkContext
+    by_path = root in os.environ.get("PYTHONPATH", "").split(os.pathsep) or (sc.master.startswith("local[") and os.getcwd() == root)
+    if by_path or getattr(sc, "_tilmoch_shipped", False):
+        return
+    target = os.path.join(tempfile.mkdtemp(prefix="tilmoch-"), "tilmoch.zip")
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, names in os.walk(os.path.join(root, "tilmoch")):
+            for n in sorted(names):
+                if n.endswith(".py"):
+                    z.write(os.path.join(folder, n), os.path.relpath(os.path.join(folder, n), root))
+    sc.addPyFile(target)
+    sc._tilmoch_shipped = True
