@@ -108,7 +108,8 @@ def normalization_errors(raw: Column, normalized: Column, entities: Column) -> C
 
 def category_counts(df: DataFrame, errors: str, categories: list[str]) -> DataFrame:
     """AGG23: rows per category in fixed order, zeros included."""
-    n = df.select(F.explode(errors).alias("category")).groupBy("category").agg(F.count("*").alias("n"))
+    # the outer form keeps the optimizer from copying the whole expression into a size filter below
+    n = df.select(F.explode_outer(errors).alias("category")).where("category IS NOT NULL").groupBy("category").agg(F.count("*").alias("n"))
     dim = df.sparkSession.createDataFrame(list(enumerate(categories)), "place int, category string")
     return dim.join(n, "category", "left").select("place", "category", F.coalesce("n", F.lit(0)).alias("n"))
 
@@ -154,6 +155,7 @@ def compliance(samples: DataFrame, least_mentions: int = 30) -> DataFrame:
 
 def collection_issues(df: DataFrame) -> DataFrame:
     """AGG22: rule breaks of checklist rows joined with what audio is present: ``(recording_id, issue)``."""
+    # The texts of the report's issues.
     rules = {
         "checklist says recorded but audio is missing": F.col("recorded") & ~F.col("audio_present"), "audio exists but checklist recorded is false": F.col("audio_present") & ~F.col("recorded"),
         "recorded is true without confirmed consent": F.col("recorded") & ~F.col("consent_confirmed"), "transcript review is true before recording": F.col("transcript_reviewed") & ~F.col("recorded"),

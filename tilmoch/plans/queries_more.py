@@ -465,7 +465,7 @@ def snk3_csv_round_trip(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     f"""
-    SELECT * FROM (VALUES ('per_intro_or_relation', 60), ('per_one_edit_intro', {len([n for n in L.PERSON_NAMES if n != 'Doston']) + 1}), ('spoken_calendar', 60), ('relative_calendar', 6), ('spoken_year', 165), ('per_train_inventory', 64),
+    SELECT template, n::BIGINT AS n FROM (VALUES ('per_intro_or_relation', 60), ('per_one_edit_intro', {len([n for n in L.PERSON_NAMES if n != 'Doston']) + 1}), ('spoken_calendar', 60), ('relative_calendar', 6), ('spoken_year', 165), ('per_train_inventory', 64),
         ('entity_boundary_curriculum', 288), ('entity_head_hard_negative', 6), ('eponymic_loc_per_contrast', 120), ('hard_negative', 65)) v(template, n)
     """
 )
@@ -475,7 +475,7 @@ def arr20_templates(spark: SparkSession, sf: str) -> DataFrame:
     return t.where(B.bio_reason(F.col("tokens"), F.col("ner_tags")).isNull()).groupBy("template").agg(F.count("*").alias("n"))
 
 
-@query("SELECT * FROM (VALUES (1, '3000'), (2, '2000,4000,6000,10000')) v(id, ends)")
+@query("SELECT id::BIGINT AS id, ends FROM (VALUES (1, '3000'), (2, '2000,4000,6000,10000')) v(id, ends)")
 def agg27_quiet_cuts(spark: SparkSession, sf: str) -> DataFrame:
     """AGG27: a short recording stays whole; in a long one each cut falls into the first pause of the second half of a chunk."""
     wave = lambda n: F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.when((i % 1000 < 200) | (i % 1000 >= 800), 0.0).otherwise(F.sin(i * 0.7)))
