@@ -93,6 +93,26 @@ def test_near_duplicates_equal_brute_force(spark, limit):
     assert near_duplicate_groups(df.limit(0), "id", F.col("tokens"), F.col("source")).count() == 0
 
 
+@pytest.mark.parametrize("limit", [4096, 40])
+def test_near_duplicates_in_common_wording(spark, limit):
+    """Links that share the wording of a third of all rows and differ in rarer words."""
+    common = [f"c{i}" for i in range(12)]
+    rows = [(f"a{i:04d}", common + [f"s{i // 2}", f"t{i // 2}"] + [f"o{i}{x}" for x in "abc"], "a", "train", 1, "x") for i in range(400)]
+    rows += [(f"b{i:04d}", [f"r{i}x{k}" for k in range(8)], "b", "train", 1, "x") for i in range(800)]
+    got = near_duplicate_groups(spark.createDataFrame(rows, REC), "id", F.col("tokens"), F.col("source"), 0.6, limit)
+    assert sorted(map(tuple, group_pairs(got).collect())) == [(f"a{i:04d}", f"a{i + 1:04d}") for i in range(0, 400, 2)]
+
+
+def test_near_duplicates_of_mixed_lengths_at_hot_words(spark):
+    rnd = random.Random(4)
+    rows = [(f"a{i:04d}", [f"c{k}" for k in range(12)] + [f"o{rnd.randrange(900)}" for _ in range(rnd.choice([4, 6, 7, 8, 9]))], "a", "train", 1, "x") for i in range(150)]
+    rows += [(f"b{i:04d}", [f"r{i}x{k}" for k in range(8)], "b", "train", 1, "x") for i in range(100)]
+    got = near_duplicate_groups(spark.createDataFrame(rows, REC), "id", F.col("tokens"), F.col("source"), 0.6, 10)
+    links = [(a[0], b[0]) for i, a in enumerate(rows) for b in rows[i + 1 :] if jaccard(a[1], b[1]) >= 0.6 - 1e-12]
+    want = sorted(tuple(sorted((a, b))) for g in components_of(links) for a in g for b in g if a < b)
+    assert sorted(map(tuple, group_pairs(got).collect())) == want and len(want) > 30
+
+
 def test_hot_links_connect_what_all_links_would(spark):
     rows = records(160, 5, 60)
     sets = representatives(spark.createDataFrame(rows, REC), "id", F.col("tokens"), F.col("source"))

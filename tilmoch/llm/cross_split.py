@@ -59,14 +59,14 @@ def segment_rows(sets: DataFrame, heavy: dict[int, int], threshold: float) -> Da
     return sets.select("nid", "side", "w").mapInArrow(emit, "key bigint, nid bigint, n bigint, sk bigint, ps bigint")
 
 
-def allowed(threshold: float) -> Callable[[dict[str, np.ndarray], np.ndarray, np.ndarray], np.ndarray]:
-    """keep for ``paired``: one evaluation and one training string, at positions that leave room for enough common words."""
+def allowed(threshold: float, across: bool = True) -> Callable[[dict[str, np.ndarray], np.ndarray, np.ndarray], np.ndarray]:
+    """keep for ``paired``: one evaluation and one training string (any two unless across), at positions that leave room for enough common words."""
     bound = edit_bound(threshold)
     near = close_sketch(bound)
     share = threshold / (1 + threshold)
 
     def keep(c: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        ok = ((c["ps"][i] ^ c["ps"][j]) & 1) == 1
+        ok = ((c["ps"][i] ^ c["ps"][j]) & 1) == 1 if across else np.ones(len(i), bool)
         p, q, n, m = c["ps"][i] >> 1, c["ps"][j] >> 1, c["n"][i], c["n"][j]
         ok &= np.minimum(p, q) + 1 + np.minimum(n - p, m - q) - 1 >= share * (n + m) - EPS
         ok[ok] = near(c, i[ok], j[ok])

@@ -1,4 +1,10 @@
-"""Near-duplicate records with small edits: DartMinHash signatures, banded joining, exact check, components."""
+"""Near-duplicate records with small edits: DartMinHash bands and an exact join on the rarest words, exact check, components.
+
+The bands weigh frequent words down, the link does not: two records that share
+frequent words and differ in rare ones can be similar enough without a common
+band. The join on the rarest words (see cross_split) has every pair of the
+threshold, whatever its weights.
+"""
 
 from __future__ import annotations
 
@@ -9,9 +15,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tilmoch.llm import darts, set_pairs
+from tilmoch.llm import cross_split, darts, set_pairs
 from tilmoch.llm.components import components
-from tilmoch.llm.set_pairs import close_columns, close_sketch, edit_bound, heavy_words, paired, verified
+from tilmoch.llm.set_pairs import EPS, close_columns, close_sketch, edit_bound, heavy_words, paired, verified
 from tilmoch.llm.text_columns import joined, plain_key, word_set
 from tilmoch.session import shared_table
 
@@ -72,6 +78,21 @@ def _similarity(w1: str, w2: str) -> Column:
     return o / F.greatest(F.lit(1), F.size(w1) + F.size(w2) - o)
 
 
+def _room(n1: str, p1: str, n2: str, p2: str, threshold: float) -> Column:
+    """Two sets whose first common word is at these places can have enough common words."""
+    most = F.least(F.col(n1) - F.col(p1), F.col(n2) - F.col(p2))
+    return most >= threshold / (1 + threshold) * (F.col(n1) + F.col(n2)) - EPS
+
+
+def with_partners(hot: DataFrame, threshold: float) -> DataFrame:
+    """The rows ``(key, nid, n, pos)`` that have room with the size and place of some row of their key; the others have no pair there."""
+    kinds = hot.groupBy("key", "n", "pos").agg(F.count("*").alias("c"))
+    other = kinds.select(F.col("key").alias("k2"), F.col("n").alias("n2"), F.col("pos").alias("p2"))
+    alone = (F.col("n") == F.col("n2")) & (F.col("pos") == F.col("p2")) & (F.col("c") < 2)
+    some = kinds.join(other, (F.col("key") == F.col("k2")) & ~alone & _room("n", "pos", "n2", "p2", threshold), "left_semi")
+    return hot.join(some.select("key", "n", "pos"), ["key", "n", "pos"], "left_semi")
+
+
 def hot_links(hot: DataFrame, sets: DataFrame, threshold: float, limit: int, rounds: int = 8) -> DataFrame:
     """``(a, b)``: links that connect the rows of each hot key exactly as all their links would, without all their pairs.
 
@@ -81,21 +102,26 @@ def hot_links(hot: DataFrame, sets: DataFrame, threshold: float, limit: int, rou
     pivot: those in that ring are compared with the linked rows that are far
     enough out. What is left goes into the next round, or, once a key is short
     enough, into plain pairing; after the last round, into a join on the key.
+
+    Where ``hot`` has a column ``pos``, the key is a word and pos its place in the
+    row's order: pairs that share an earlier word are left to the key of that word.
     """
     d = 1 - threshold
-    rows = shared_table(hot.distinct().join(sets.select("nid", "n", "w"), "nid"), "hot")
+    if "pos" not in hot.columns:
+        hot = hot.withColumn("pos", F.lit(0).cast("bigint"))
+    rows = shared_table(hot.select("key", "nid", "pos").distinct().join(sets.select("nid", "n", "w"), "nid"), "hot")
     links = []
     for i in range(rounds):
         pivots = rows.groupBy("key").agg(F.min(F.struct("nid", "w")).alias("p")).select("key", F.col("p.nid").alias("pn"), F.col("p.w").alias("pw"))
-        scored = shared_table(rows.join(pivots, "key").select("key", "nid", "n", "w", "pn", (1 - _similarity("w", "pw")).alias("d")), "scored")
+        scored = shared_table(rows.join(pivots, "key").select("key", "nid", "n", "pos", "w", "pn", (1 - _similarity("w", "pw")).alias("d")), "scored")
         linked = scored.where(F.col("d") <= d + 1e-9)
         links.append(linked.where("nid <> pn").select(F.col("pn").alias("a"), F.col("nid").alias("b")))
         ring = scored.where((F.col("d") > d + 1e-9) & (F.col("d") <= 2 * d + 1e-9))
-        x = linked.select("key", F.col("nid").alias("a"), F.col("w").alias("wa"), F.col("d").alias("da"))
-        y = ring.select("key", F.col("nid").alias("b"), F.col("w").alias("wb"), F.col("d").alias("db"))
-        near = x.join(y, "key").where((F.col("da") >= F.col("db") - d - 1e-9) & (_similarity("wa", "wb") >= threshold - 1e-9))
+        x = linked.select("key", F.col("nid").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("w").alias("wa"), F.col("d").alias("da"))
+        y = ring.select("key", F.col("nid").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("w").alias("wb"), F.col("d").alias("db"))
+        near = x.join(y, "key").where((F.col("da") >= F.col("db") - d - 1e-9) & _room("na", "pa", "nb", "pb", threshold) & (_similarity("wa", "wb") >= threshold - 1e-9))
         links.append(near.select("a", "b"))
-        left = scored.where(F.col("d") > d + 1e-9).select("nid", "key", "n", "w")
+        left = scored.where(F.col("d") > d + 1e-9).select("nid", "key", "n", "pos", "w")
         sizes = left.groupBy("key").count()
         short = left.join(sizes.where(F.col("count") <= limit).select("key"), "key", "left_semi")
         links.append(_joined_links(short, threshold))
@@ -111,9 +137,9 @@ def hot_links(hot: DataFrame, sets: DataFrame, threshold: float, limit: int, rou
 
 
 def _joined_links(rows: DataFrame, threshold: float) -> DataFrame:
-    x = rows.select("key", F.col("nid").alias("a"), F.col("w").alias("wa"))
-    y = rows.select("key", F.col("nid").alias("b"), F.col("w").alias("wb"))
-    return x.join(y, "key").where((F.col("a") < F.col("b")) & (_similarity("wa", "wb") >= threshold - 1e-9)).select("a", "b")
+    x = rows.select("key", F.col("nid").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("w").alias("wa"))
+    y = rows.select("key", F.col("nid").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("w").alias("wb"))
+    return x.join(y, "key").where((F.col("a") < F.col("b")) & _room("na", "pa", "nb", "pb", threshold) & (_similarity("wa", "wb") >= threshold - 1e-9)).select("a", "b")
 
 
 def near_duplicate_groups(df: DataFrame, key: str, tokens: Column, source: Column, threshold: float = 0.6, limit: int = set_pairs.RUN_LIMIT) -> DataFrame:
@@ -127,13 +153,20 @@ def near_duplicate_groups(df: DataFrame, key: str, tokens: Column, source: Colum
     """
     sets = representatives(df, key, tokens, source)
     rows = sets.count()
-    heavy = heavy_words(sets, rows, HEAVY_SHARE, RARE)
+    counts = heavy_words(sets, rows, cross_split.HEAVY_SHARE, RARE)
+    heavy = {w: n for w, n in counts.items() if n > HEAVY_SHARE * rows}
     bound = edit_bound(threshold)
     found = shared_table(paired(band_rows(sets, heavy, rows), close_sketch(bound), limit), "pairs")
-    edges = verified(found.where("hot IS NULL").select("a", "b").distinct(), sets, bound)
+    words = cross_split.segment_rows(sets.withColumn("side", F.lit(0)), counts, threshold)
+    met = shared_table(paired(words, cross_split.allowed(threshold, across=False), limit), "pairs")
+    edges = verified(found.union(met).where("hot IS NULL").select("a", "b").distinct(), sets, bound)
     hot = found.where("hot IS NOT NULL").select(F.col("a").alias("nid"), F.col("hot").alias("key"))
     if not hot.isEmpty():
         edges = edges.union(hot_links(hot, sets, threshold, limit))
+    hot = met.where("hot IS NOT NULL").select(F.col("hot").alias("key")).distinct()
+    if not hot.isEmpty():
+        placed = words.join(hot, "key", "left_semi").select("key", "nid", "n", F.floor(F.col("ps") / 2).alias("pos"))
+        edges = edges.union(hot_links(with_partners(shared_table(placed, "hot"), threshold), sets, threshold, limit))
     cc = shared_table(components(edges), "components")
     named = cc.join(sets.select("nid", "id"), "nid").select("cid", "id")
     return named.join(named.groupBy("cid").agg(F.min("id").alias("group_id")), "cid").select("id", "group_id")
