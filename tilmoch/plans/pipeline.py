@@ -13,10 +13,16 @@ from tilmoch.functions import text as S
 from tilmoch.operators import analysis as A
 from tilmoch.operators import corpus as K
 from tilmoch.operators import spans as P
+from tilmoch.session import shared_table
 
 ENTITY = "array<struct<text:string,label:string,start:int,end:int,score:double>>"
 Predict = Callable[[list[str]], list[list[dict]]]
 
+#: Fingerprints of texts that never enter a mix.
+DENIED = ("74021c40cd631abaad79e31cc8ab58daa223f3d73cab1208ab173f3fd48726a0",)
+#: Entity type: the markers of its hard names and how often a base row that holds one occurs in the mix.
+HARD = {"LOC": (["mamlakat"], 8), "ORG": (["liga", "premyer"], 10)}
+
 
 def with_predictions(df: DataFrame, text: str, make: Callable[[], Predict], out: str = "model_entities") -> DataFrame:
     """UDF1 / UDF2: entities of a pluggable model. ``make`` runs once per task and returns a function from texts to lists of entity dicts."""
@@ -102,23 +108,47 @@ def augmented(df: DataFrame, seed: int, share: float = 3 / 7) -> DataFrame:
     return pick.withColumn("_r", r).select(F.concat("id", F.lit("__aug")).alias("id"), F.col("_r.tokens").alias("tokens"), F.col("_r.tags").alias("ner_tags"), F.col("id").alias("source_id"), F.col("_r.applied").alias("transformations"))
 
 
-def training_mix(base: DataFrame, expert: DataFrame, speech: DataFrame, protected: DataFrame, seed: int, caps: dict[str, int], factors: dict[str, int], dev_fraction: float) -> dict[str, DataFrame]:
+def training_mix(
+    base: DataFrame, expert: DataFrame, temporal: DataFrame, speech: DataFrame, protected: DataFrame, seed: int, caps: dict[str, int], factors: dict[str, int], dev_fraction: float,
+    denied: tuple[str, ...] = DENIED, hard: dict[str, tuple[list[str], int]] = HARD,
+) -> dict[str, DataFrame]:
     """DRV7 / SET1: base and deduplicated, sampled, upsampled additions; a held-out speech part; exclusions by reason.
 
     Inputs have ``id, tokens, ner_tags, source``. Ids of the parts get the part's
-    name as prefix, so copies of one row by two boosts cannot meet.
+    name as prefix, so copies of one row by two boosts cannot meet. A base row with a
+    protected or denied text is an error. Expert rows that are not sampled do not
+    count as seen for later sources; temporal rows do.
     """
     fp = lambda df: df.select(S.fingerprint(F.array_join("tokens", " ")).alias("fp"))
-    guard = fp(protected)
-    seen = fp(base)
-    e = K.filter_additions(expert, seen, guard, [])
+    # each source is filtered once: later parts read what was accepted, not the plans behind it
+    guard = shared_table(fp(protected).distinct(), "guard")
+    base = shared_table(base.select("id", "tokens", "ner_tags", "source"), "base")
+    seen = shared_table(fp(base).distinct(), "seen")
+    denied = list(denied)
+    if not seen.join(guard, "fp", "left_semi").isEmpty():
+        raise ValueError("the base holds a protected text")
+    if denied and not seen.where(F.col("fp").isin(denied)).isEmpty():
+        raise ValueError("the base holds a text of the denylist")
+    filtered = lambda df, seen, name: shared_table(K.filter_additions(df.select("id", "tokens", "ner_tags", "source"), seen, guard, denied), name)
+    e = filtered(expert, seen, "expert")
     wanted = F.size(F.array_intersect(B.entity_types(F.col("ner_tags")), F.array(*map(F.lit, ["PER", "ORG", "LOC", "TEMPORAL"])))) > 0
     chosen = K.upsampled(K.stable_sample_preferring(e.where("reason IS NULL").select("id", "tokens", "ner_tags", "source"), caps["expert"], seed, wanted), factors)
-    s = K.filter_additions(speech, seen.unionByName(fp(chosen)), guard, [])
-    parts = K.held_out(s.where("reason IS NULL").select("id", "tokens", "ner_tags", "source"), dev_fraction, seed + 2)
+    chosen = shared_table(chosen, "chosen")
+    seen = seen.unionByName(fp(chosen))
+    t = filtered(temporal, seen, "temporal")
+    accepted = t.where("reason IS NULL").select("id", "tokens", "ner_tags", "source")
+    timed = K.stable_sample(accepted, caps["temporal"], seed + 1)
+    s = filtered(speech, seen.unionByName(fp(accepted)), "speech")
+    parts = shared_table(K.held_out(s.where("reason IS NULL").select("id", "tokens", "ner_tags", "source"), dev_fraction, seed + 2), "parts")
     train = K.stable_sample(parts.where("part = 'train'").drop("part"), caps["speech"], seed + 3)
-    boost = K.upsampled(base.where(F.array_contains(B.entity_types(F.col("ner_tags")), "LOC")), {"LOC": factors.get("LOC", 1)}).where(F.col("id").contains("::up"))
+    copies = lambda df, label, factor: K.upsampled(df, {label: factor}).where(F.col("id").contains("::up"))
+    boost = copies(base.where(F.array_contains(B.entity_types(F.col("ner_tags")), "LOC")), "LOC", factors.get("LOC", 1))
     tag = lambda df, name: df.select(F.concat(F.lit(f"{name}/"), "id").alias("id"), "tokens", "ner_tags", "source", F.lit(name).alias("part"))
-    out = tag(base, "base").unionByName(tag(chosen, "expert")).unionByName(tag(train, "speech")).unionByName(tag(boost, "base_loc"))
-    why = e.select(F.lit("expert").alias("part"), "reason").unionByName(s.select(F.lit("speech").alias("part"), "reason")).where("reason IS NOT NULL").groupBy("part", "reason").agg(F.count("*").alias("n"))
+    out = tag(base, "base").unionByName(tag(chosen, "expert")).unionByName(tag(timed, "temporal")).unionByName(tag(train, "speech")).unionByName(tag(boost, "base_loc"))
+    for label, (markers, factor) in hard.items():
+        surface = F.transform(S.nfkc_all(F.col("tokens")), lambda x: S.delete(F.lower(x), S.ASCII_APOSTROPHES))
+        marked = base.withColumn("_t", surface).where((F.size("tokens") == F.size("ner_tags")) & B.has_marked(F.col("_t"), F.col("ner_tags"), label, markers)).drop("_t")
+        out = out.unionByName(tag(copies(marked, label, factor), f"hard_{label.lower()}"))
+    reasons = [x.select(F.lit(name).alias("part"), "reason") for name, x in (("expert", e), ("temporal", t), ("speech", s))]
+    why = reasons[0].unionByName(reasons[1]).unionByName(reasons[2]).where("reason IS NOT NULL").groupBy("part", "reason").agg(F.count("*").alias("n"))
     return {"train": out, "dev": tag(parts.where("part = 'dev'"), "speech_dev"), "exclusions": why}
