@@ -48,7 +48,19 @@ def shared_table(df: DataFrame, name: str, partition_by: list[str] | None = None
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._shared_path = path
+    return out
+
+
+def drop_shared(table: DataFrame) -> None:
+    """Delete what ``shared_table`` wrote for this very table, once nothing reads it any more."""
+    path = getattr(table, "_shared_path", None)
+    if path is None:
+        raise ValueError("not a shared table")
+    jvm = table.sparkSession.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def ship_package(spark: SparkSession) -> None:
