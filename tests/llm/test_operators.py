@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tilmoch.llm import codepoints as C
 from tilmoch.llm import darts, format_copies, near_duplicates, packing, quality, set_pairs, tokens
 from tilmoch.llm.components import components
-from tilmoch.llm.cross_split import cross_split_pairs
+from tilmoch.llm.cross_split import cross_split_pairs, cut_words
 from tilmoch.llm.eval_leaks import leaks
 from tilmoch.llm.mixing import mix, pivotal, shares
 from tilmoch.llm.near_duplicates import group_pairs, hot_links, near_duplicate_groups, representatives
@@ -63,13 +63,13 @@ def components_of(pairs):
 EDGE = [("e1", None, None, "train", 1, "x"), ("e2", [], "b", "test", 1, "x"), ("e3", [None], "b", "train", 1, "x"), ("e4", ["w1", "!"], None, None, 1, "x"), (None, ["w1"], "b", "train", 1, "x")]
 
 
-@pytest.mark.parametrize("limit", [4096, 3])
-def test_cross_split_equals_brute_force(spark, limit):
+@pytest.mark.parametrize("limit, depth", [(4096, 8), (3, 8), (3, 1)])
+def test_cross_split_equals_brute_force(spark, limit, depth):
     rows = records(300) + EDGE
     rows += rows[:5]  # second deliveries
     df = spark.createDataFrame(rows, REC)
     ev = F.when(F.col("split") == "train", False).when(F.col("split").isNotNull(), True)
-    got = sorted(map(tuple, cross_split_pairs(df, "id", F.col("tokens"), ev, 0.6, limit).collect()))
+    got = sorted(map(tuple, cross_split_pairs(df, "id", F.col("tokens"), ev, 0.6, limit, depth).collect()))
     uniq = {r[0]: r for r in rows if r[0]}
     want = sorted((a, b) for a, x in uniq.items() for b, y in uniq.items() if x[3] in ("test", "validation") and y[3] == "train" and x[1] and y[1] and jaccard(x[1], y[1]) >= 0.6 - 1e-12)
     assert got == want and len(want) > 50
@@ -113,27 +113,36 @@ def test_near_duplicates_of_mixed_lengths_at_hot_words(spark):
     assert sorted(map(tuple, group_pairs(got).collect())) == want and len(want) > 30
 
 
-def test_hot_links_connect_what_all_links_would(spark):
+@pytest.mark.parametrize("limit, depth", [(1, 3), (40, 8), (5, 0)])
+def test_hot_links_connect_what_all_links_would(spark, limit, depth):
     rows = records(160, 5, 60)
     sets = representatives(spark.createDataFrame(rows, REC), "id", F.col("tokens"), F.col("source"))
-    sets = sets.withColumn("sk", F.lit(0))
     data = {r["nid"]: set(r["w"]) for r in sets.collect() if r["n"]}
-    hot = sets.where("n > 0").select("nid", F.lit(1).cast("bigint").alias("key"))
-    for limit in (1, 40):
-        got = [tuple(r) for r in hot_links(hot, sets, 0.6, limit, 3).collect()]
-        assert all(jaccard(data[a], data[b]) >= 0.6 - 1e-9 for a, b in got)
-        ids = sorted(data)
-        all_links = [(a, b) for i, a in enumerate(ids) for b in ids[i + 1 :] if jaccard(data[a], data[b]) >= 0.6 - 1e-9]
-        assert sorted(map(sorted, components_of(got))) == sorted(map(sorted, components_of(all_links)))
+    hot = sets.where("n > 0").select("nid", F.lit(1).cast("bigint").alias("key"), F.shiftleft(F.col("n").cast("bigint"), 32).alias("at"))
+    got = [tuple(r) for r in hot_links(hot, sets, 0.6, limit, 0, depth).collect()]
+    assert all(jaccard(data[a], data[b]) >= 0.6 - 1e-9 for a, b in got)
+    ids = sorted(data)
+    all_links = [(a, b) for i, a in enumerate(ids) for b in ids[i + 1 :] if jaccard(data[a], data[b]) >= 0.6 - 1e-9]
+    assert sorted(map(sorted, components_of(got))) == sorted(map(sorted, components_of(all_links)))
+
+
+def test_a_hot_key_of_near_copies_takes_one_comparison_a_row(spark):
+    """A third of all rows are one text with small edits: links to one pivot, no pairs."""
+    rows = [(f"a{i:04d}", [f"c{k}" for k in range(12)] + [f"o{i}"], "a", "train", 1, "x") for i in range(300)]
+    sets = representatives(spark.createDataFrame(rows, REC), "id", F.col("tokens"), F.col("source"))
+    hot = sets.select("nid", F.lit(1).cast("bigint").alias("key"), F.shiftleft(F.col("n").cast("bigint"), 32).alias("at"))
+    got = hot_links(hot, sets, 0.6, 10, 0, 8)
+    assert got.count() == 299 and got.select("a").distinct().count() == 1
 
 
 def test_streamed_pairs_with_long_runs(spark):
     rnd = random.Random(2)
-    rows = [(k, i, 0, 0) for i, k in enumerate([7] * 50 + [9] * 3 + [rnd.randint(20, 60) for _ in range(100)])]
-    df = spark.createDataFrame(rows, "key bigint, nid bigint, n bigint, sk bigint")
+    rows = [(k, i, 0, rnd.randint(0, 1)) for i, k in enumerate([7] * 50 + [9] * 3 + [rnd.randint(20, 60) for _ in range(100)])]
+    df = spark.createDataFrame(rows, "key bigint, nid bigint, sk bigint, at bigint")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "8")
     try:
         got = set_pairs.paired(df, lambda c, i, j: np.ones(len(i), bool), 10).collect()
+        across = set_pairs.paired(df, lambda c, i, j: np.ones(len(i), bool), 10, across=True).collect()
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     by = defaultdict(list)
@@ -142,6 +151,21 @@ def test_streamed_pairs_with_long_runs(spark):
     want = sorted((a, b) for k, v in by.items() if len(v) <= 10 for a in v for b in v if a < b)
     assert sorted((r["a"], r["b"]) for r in got if r["hot"] is None) == want
     assert sorted(r["a"] for r in got if r["hot"] is not None) == sorted(i for v in by.values() if len(v) > 10 for i in v)
+    assert sorted((r["a"], r["b"]) for r in across if r["hot"] is None) == [(a, b) for a, b in want if rows[a][3] != rows[b][3]]
+    assert sorted(r["a"] for r in across if r["hot"] is not None) == sorted(r["a"] for r in got if r["hot"] is not None)
+
+
+def test_segments_cover_and_one_stands():
+    """Of every pair of the threshold a one-word segment is common, or the training string is the evaluation string's rest."""
+    rnd = random.Random(12)
+    for t in (0.5, 0.6, 0.8):
+        for _ in range(4000):
+            n = rnd.randint(1, 14)
+            a = list(range(n))
+            b = sorted(rnd.sample(a, rnd.randint(0, n)) + [n + j + 0.5 if rnd.random() < 0.5 else j - 0.5 for j in range(rnd.randint(0, 5))])
+            k = int(cut_words(np.array([n]), t)[0])
+            if b and jaccard(a, b) >= t - 1e-12:
+                assert set(a[:k]) & set(b) or (b == a[k:] and len(b) >= t * n - 1e-9)
 
 
 def test_banded_distance():
@@ -158,12 +182,15 @@ def test_darts_estimate_weighted_jaccard():
     words = rnd.integers(1, 2**63, 40).astype(np.uint64)
     weight = rnd.uniform(0.05, 1, 40)
     a, b = np.arange(0, 28), np.arange(12, 40)
+    for scale in (1, 0.02):  # light sets throw over a longer range of ranks
+        x = weight * scale
+        sig = darts.signatures(np.concatenate([words[a], words[b]]), np.concatenate([x[a], x[b]]), np.array([28, 28]), 4000)
+        want = weight[12:28].sum() / weight.sum()
+        assert abs((sig[0] == sig[1]).mean() - want) < 0.03
     sig = darts.signatures(np.concatenate([words[a], words[b]]), np.concatenate([weight[a], weight[b]]), np.array([28, 28]), 4000)
-    want = weight[12:28].sum() / weight.sum()
-    assert abs((sig[0] == sig[1]).mean() - want) < 0.03
     again = darts.signatures(words[b], weight[b], np.array([28]), 4000)
     assert (again[0] == sig[1]).all()
-    assert (darts.signatures(np.zeros(0, np.uint64), np.zeros(0), np.array([0]), 5) == darts._EMPTY).all()
+    assert (darts.signatures(np.zeros(0, np.uint64), np.zeros(0), np.array([0]), 5) == darts.EMPTY).all()
 
 
 def test_components(spark):
@@ -173,6 +200,8 @@ def test_components(spark):
     want = {x: min(g) for g in components_of([e for e in edges if e[0] != e[1]]) for x in g}
     assert {r["nid"]: r["cid"] for r in got} == want and len(got) == len(want)
     assert components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+    with pytest.raises(RuntimeError, match="still change"):
+        components(spark.createDataFrame([(i, i + 1) for i in range(200)], "a bigint, b bigint"), 1)
 
 
 def test_format_copies(spark):

@@ -1,9 +1,10 @@
 """Near-duplicate records with small edits: DartMinHash bands and an exact join on the rarest words, exact check, components.
 
 The bands weigh frequent words down, the link does not: two records that share
-frequent words and differ in rare ones can be similar enough without a common
-band. The join on the rarest words (see cross_split) has every pair of the
-threshold, whatever its weights.
+frequent words and differ in rarer ones can be similar enough without a common
+band, and a band held by very many rows is not enumerated. The join on the rarest
+words (see cross_split) has every pair of the threshold, whatever its weights, so
+either way no link is lost.
 """
 
 from __future__ import annotations
@@ -17,7 +18,9 @@ from pyspark.sql import functions as F
 
 from tilmoch.llm import cross_split, darts, set_pairs
 from tilmoch.llm.components import components
-from tilmoch.llm.set_pairs import EPS, close_columns, close_sketch, edit_bound, heavy_words, paired, verified
+from tilmoch.llm.hot_keys import hot_pairs
+from tilmoch.llm.set_pairs import allowed, close_sketch, edit_bound, paired, verified
+from tilmoch.llm.sketches import code_counts, codes_of, count_codes
 from tilmoch.llm.text_columns import joined, plain_key, word_set
 from tilmoch.session import shared_table
 
@@ -41,108 +44,44 @@ def representatives(df: DataFrame, key: str, tokens: Column, source: Column) ->
     return shared_table(groups, "sets")
 
 
-def band_rows(sets: DataFrame, heavy: dict[int, int], rows: int, share: float = HEAVY_SHARE, r: int = BAND_ROWS, b: int = BANDS) -> DataFrame:
-    """``(key, nid, n, sk)``: b band keys per set, from r dart coordinates each."""
-    keys = np.array(sorted(heavy), np.int32)
-    # full weight up to the limit, none for a word of every record, squared fall in the logarithm between
-    scale = np.log(max(rows, 2) / max(RARE, share * rows)) if rows > RARE else 1.0
-    weights = np.array([np.clip(np.log(max(rows, 2) / heavy[k]) / scale, 0, 1) ** 2 for k in keys.tolist()])
-    shared = sets.sparkSession.sparkContext.broadcast((keys, np.clip(weights, LEAST_WEIGHT, 1)))
+def word_weights(rows: int, share: float = HEAVY_SHARE) -> np.ndarray:
+    """The weight of a word for each count code: full up to the limit, least for a word of every record, squared fall in the logarithm between."""
+    limit = max(RARE, share * rows)
+    if rows <= limit:
+        return np.ones(256)
+    fall = np.log(rows / np.maximum(code_counts(), 1)) / np.log(rows / limit)
+    return np.clip(np.clip(fall, 0, 1) ** 2, LEAST_WEIGHT, 1)
+
+
+def band_rows(sets: DataFrame, codes: np.ndarray, rows: int, share: float = HEAVY_SHARE, r: int = BAND_ROWS, b: int = BANDS) -> DataFrame:
+    """``(key, nid, sk, at)``: b band keys per set, from r dart coordinates each."""
+    shared = sets.sparkSession.sparkContext.broadcast((codes, word_weights(rows, share)))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hk, hw = shared.value
+        table, weight = shared.value
         for batch in batches:
             for at in range(0, batch.num_rows, 2048):
                 part = batch.slice(at, 2048)
                 w, n = set_pairs._flat(part.column("w"))
-                x = np.ones(len(w))
-                if len(hk):
-                    k = np.searchsorted(hk, w)
-                    k[k == len(hk)] = 0
-                    hit = hk[k] == w
-                    x[hit] = hw[k[hit]]
-                sig = darts.signatures(darts.mix64(w.view(np.uint32).astype(np.uint64)), x, n, r * b)
-                key = darts.bands(sig, r).view(np.int64)
+                sig = darts.signatures(darts.mix64(w.view(np.uint32).astype(np.uint64)), weight[codes_of(w, table)], n, r * b)
                 some = n > 0
-                nid = part.column("nid").to_numpy(zero_copy_only=False)
-                sk = set_pairs.parity_sketch(w, n).view(np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(key[some].ravel()), pa.array(np.repeat(nid[some], b)), pa.array(np.repeat(n[some], b).astype(np.int64)), pa.array(np.repeat(sk[some], b))], ["key", "nid", "n", "sk"]
-                )
-
-    return sets.select("nid", "w").mapInArrow(emit, "key bigint, nid bigint, n bigint, sk bigint")
-
-
-def _similarity(w1: str, w2: str) -> Column:
-    o = F.size(F.array_intersect(w1, w2))
-    return o / F.greatest(F.lit(1), F.size(w1) + F.size(w2) - o)
-
+                key = darts.bands(sig[some], r).view(np.int64)
+                nid = part.column("nid").to_numpy(zero_copy_only=False)[some]
+                sk = set_pairs.parity_sketch(w, n).view(np.int64)[some]
+                zero = np.zeros(len(nid), np.int64)
+                cols = [key.ravel(), *(np.repeat(x, b) for x in (nid, sk, set_pairs.place(n[some], zero, zero)))]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], ["key", "nid", "sk", "at"])
 
-def _room(n1: str, p1: str, n2: str, p2: str, threshold: float) -> Column:
-    """Two sets whose first common word is at these places can have enough common words."""
-    most = F.least(F.col(n1) - F.col(p1), F.col(n2) - F.col(p2))
-    return most >= threshold / (1 + threshold) * (F.col(n1) + F.col(n2)) - EPS
+    return sets.select("nid", "w").mapInArrow(emit, "key bigint, nid bigint, sk bigint, at bigint")
 
 
-def with_partners(hot: DataFrame, threshold: float) -> DataFrame:
-    """The rows ``(key, nid, n, pos)`` that have room with the size and place of some row of their key; the others have no pair there."""
-    kinds = hot.groupBy("key", "n", "pos").agg(F.count("*").alias("c"))
-    other = kinds.select(F.col("key").alias("k2"), F.col("n").alias("n2"), F.col("pos").alias("p2"))
-    alone = (F.col("n") == F.col("n2")) & (F.col("pos") == F.col("p2")) & (F.col("c") < 2)
-    some = kinds.join(other, (F.col("key") == F.col("k2")) & ~alone & _room("n", "pos", "n2", "p2", threshold), "left_semi")
-    return hot.join(some.select("key", "n", "pos"), ["key", "n", "pos"], "left_semi")
+def hot_links(hot: DataFrame, sets: DataFrame, threshold: float, limit: int, d: int = 0, depth: int = 8) -> DataFrame:
+    """``(a, b)``: links that connect the rows ``(key, nid, at)`` of each hot key exactly as all their links would, without all their pairs."""
+    pairs, links = hot_pairs(hot.select(F.col("key").alias("hot"), F.col("nid").alias("a"), "at"), sets, threshold, limit, d, depth, star=True)
+    return verified(pairs.distinct(), sets, edit_bound(threshold)).union(links).distinct()
 
 
-def hot_links(hot: DataFrame, sets: DataFrame, threshold: float, limit: int, rounds: int = 8) -> DataFrame:
-    """``(a, b)``: links that connect the rows of each hot key exactly as all their links would, without all their pairs.
-
-    A round takes one pivot per key. Rows similar to it are linked to it and need no
-    links among themselves. By the triangle inequality of the Jaccard distance, any
-    other row can only be similar to a linked row if it is not too far from the
-    pivot: those in that ring are compared with the linked rows that are far
-    enough out. What is left goes into the next round, or, once a key is short
-    enough, into plain pairing; after the last round, into a join on the key.
-
-    Where ``hot`` has a column ``pos``, the key is a word and pos its place in the
-    row's order: pairs that share an earlier word are left to the key of that word.
-    """
-    d = 1 - threshold
-    if "pos" not in hot.columns:
-        hot = hot.withColumn("pos", F.lit(0).cast("bigint"))
-    rows = shared_table(hot.select("key", "nid", "pos").distinct().join(sets.select("nid", "n", "w"), "nid"), "hot")
-    links = []
-    for i in range(rounds):
-        pivots = rows.groupBy("key").agg(F.min(F.struct("nid", "w")).alias("p")).select("key", F.col("p.nid").alias("pn"), F.col("p.w").alias("pw"))
-        scored = shared_table(rows.join(pivots, "key").select("key", "nid", "n", "pos", "w", "pn", (1 - _similarity("w", "pw")).alias("d")), "scored")
-        linked = scored.where(F.col("d") <= d + 1e-9)
-        links.append(linked.where("nid <> pn").select(F.col("pn").alias("a"), F.col("nid").alias("b")))
-        ring = scored.where((F.col("d") > d + 1e-9) & (F.col("d") <= 2 * d + 1e-9))
-        x = linked.select("key", F.col("nid").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("w").alias("wa"), F.col("d").alias("da"))
-        y = ring.select("key", F.col("nid").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("w").alias("wb"), F.col("d").alias("db"))
-        near = x.join(y, "key").where((F.col("da") >= F.col("db") - d - 1e-9) & _room("na", "pa", "nb", "pb", threshold) & (_similarity("wa", "wb") >= threshold - 1e-9))
-        links.append(near.select("a", "b"))
-        left = scored.where(F.col("d") > d + 1e-9).select("nid", "key", "n", "pos", "w")
-        sizes = left.groupBy("key").count()
-        short = left.join(sizes.where(F.col("count") <= limit).select("key"), "key", "left_semi")
-        links.append(_joined_links(short, threshold))
-        rows = shared_table(left.join(sizes.where(F.col("count") > limit).select("key"), "key", "left_semi"), "hot")
-        if rows.isEmpty():
-            break
-    else:
-        links.append(_joined_links(rows, threshold))
-    out = links[0]
-    for more in links[1:]:
-        out = out.union(more)
-    return out.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-
-def _joined_links(rows: DataFrame, threshold: float) -> DataFrame:
-    x = rows.select("key", F.col("nid").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("w").alias("wa"))
-    y = rows.select("key", F.col("nid").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("w").alias("wb"))
-    return x.join(y, "key").where((F.col("a") < F.col("b")) & _room("na", "pa", "nb", "pb", threshold) & (_similarity("wa", "wb") >= threshold - 1e-9)).select("a", "b")
-
-
-def near_duplicate_groups(df: DataFrame, key: str, tokens: Column, source: Column, threshold: float = 0.6, limit: int = set_pairs.RUN_LIMIT) -> DataFrame:
+def near_duplicate_groups(df: DataFrame, key: str, tokens: Column, source: Column, threshold: float = 0.6, limit: int = set_pairs.RUN_LIMIT, depth: int = 8) -> DataFrame:
     """``(id, group_id)`` of every representative that is linked to another, group_id the smallest id of its group.
 
     Two representatives are linked if their sets of words have a Jaccard similarity
@@ -152,31 +91,22 @@ def near_duplicate_groups(df: DataFrame, key: str, tokens: Column, source: Colum
     an empty result; other columns are not read.
     """
     sets = representatives(df, key, tokens, source)
-    rows = sets.count()
-    counts = heavy_words(sets, rows, cross_split.HEAVY_SHARE, RARE)
-    heavy = {w: n for w, n in counts.items() if n > HEAVY_SHARE * rows}
+    codes = count_codes(sets, "w")
     bound = edit_bound(threshold)
-    found = shared_table(paired(band_rows(sets, heavy, rows), close_sketch(bound), limit), "pairs")
-    words = cross_split.segment_rows(sets.withColumn("side", F.lit(0)), counts, threshold)
-    met = shared_table(paired(words, cross_split.allowed(threshold, across=False), limit), "pairs")
-    edges = verified(found.union(met).where("hot IS NULL").select("a", "b").distinct(), sets, bound)
-    hot = found.where("hot IS NOT NULL").select(F.col("a").alias("nid"), F.col("hot").alias("key"))
+    found = shared_table(paired(band_rows(sets, codes, sets.count()), close_sketch(bound), limit).where("hot IS NULL").select("a", "b"), "pairs")
+    strings = cross_split.ordered_strings(sets, codes)
+    met = shared_table(paired(cross_split.segment_rows(strings, threshold, across=False), allowed(threshold), limit), "pairs")
+    edges = verified(found.union(met.where("hot IS NULL").select("a", "b")).distinct(), sets, bound)
+    hot = met.where("hot IS NOT NULL").select(F.col("hot").alias("key"), F.col("a").alias("nid"), "at")
     if not hot.isEmpty():
-        edges = edges.union(hot_links(hot, sets, threshold, limit))
-    hot = met.where("hot IS NOT NULL").select(F.col("hot").alias("key")).distinct()
-    if not hot.isEmpty():
-        placed = words.join(hot, "key", "left_semi").select("key", "nid", "n", F.floor(F.col("ps") / 2).alias("pos"))
-        edges = edges.union(hot_links(with_partners(shared_table(placed, "hot"), threshold), sets, threshold, limit))
+        edges = edges.union(hot_links(hot, strings, threshold, limit, 1, depth))
     cc = shared_table(components(edges), "components")
     named = cc.join(sets.select("nid", "id"), "nid").select("cid", "id")
     return named.join(named.groupBy("cid").agg(F.min("id").alias("group_id")), "cid").select("id", "group_id")
 
 
 def group_pairs(groups: DataFrame) -> DataFrame:
-    """``(id_a, id_b)``: every two ids of a group, smaller first."""
+    """``(id_a, id_b)``: every two ids of a group, smaller first. As many rows as that is: at scale keep the groups instead."""
     a = groups.select("group_id", F.col("id").alias("id_a"))
     b = groups.select("group_id", F.col("id").alias("id_b"))
     return a.join(b, "group_id").where("id_a < id_b").select("id_a", "id_b")
-
-
-__all__ = ["close_columns", "group_pairs", "hot_links", "near_duplicate_groups", "representatives"]

@@ -40,43 +40,69 @@ def parity_sketch(words: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return out
 
 
-def run_pairs(key: np.ndarray, limit: int, most: int = 1 << 20) -> tuple[Iterator[tuple[np.ndarray, np.ndarray]], np.ndarray]:
-    """Index pairs i < j of equal keys in a sorted array, for runs up to limit, in blocks of about most pairs; and the mask of rows in longer runs."""
+def run_pairs(key: np.ndarray, limit: int, side: np.ndarray | None = None, most: int = 1 << 20) -> tuple[Iterator[tuple[np.ndarray, np.ndarray]], np.ndarray]:
+    """Index pairs i < j of equal keys in a sorted array, for runs up to limit, in blocks of about most pairs; and the mask of rows in longer runs.
+
+    With side (0 before 1 within a key) only pairs of a row of side 0 and one of side 1 are formed.
+    """
     start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     size = np.diff(np.append(start, len(key)))
     hot = np.repeat(size > limit, size)
-    n = np.where(hot, 0, np.repeat(start + size, size) - np.arange(len(key)) - 1)
+    end = np.repeat(start + size, size)
+    first = np.arange(1, len(key) + 1)
+    if side is not None:
+        first = np.where(side == 0, end - np.repeat(np.add.reduceat(side, start), size), end)
+    n = np.where(hot, 0, end - first)
     total = np.cumsum(n)
 
     def blocks() -> Iterator[tuple[np.ndarray, np.ndarray]]:
         at = 0
         while at < len(key):
             to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + most, side="right")))
-            i = np.repeat(np.arange(at, to), n[at:to])
-            yield i, i + 1 + ranges(n[at:to])
+            yield np.repeat(np.arange(at, to), n[at:to]), np.repeat(first[at:to], n[at:to]) + ranges(n[at:to])
             at = to
 
     return blocks(), hot
 
 
-def paired(rows: DataFrame, keep: Callable[[dict[str, np.ndarray], np.ndarray, np.ndarray], np.ndarray], limit: int = RUN_LIMIT) -> DataFrame:
-    """``(a, b, hot)`` for rows ``(key, nid, ...bigint columns)``: pairs of one key that pass keep.
+PAIRS = "a bigint, b bigint, hot bigint, at bigint, label bigint"
+
+
+def place(n: np.ndarray, pos: np.ndarray, side: np.ndarray) -> np.ndarray:
+    """Size, position and side of a keyed row in one number."""
+    return (n.astype(np.int64) << 32) | (pos.astype(np.int64) << 1) | side.astype(np.int64)
+
+
+def place_columns(at: str = "at") -> dict[str, Column]:
+    a = F.col(at)
+    return {"n": F.shiftright(a, 32), "pos": F.shiftright(a.bitwiseAND(0xFFFFFFFF), 1), "side": a.bitwiseAND(1)}
+
+
+def paired(rows: DataFrame, keep: Callable[[dict[str, np.ndarray], np.ndarray, np.ndarray], np.ndarray], limit: int = RUN_LIMIT, across: bool = False) -> DataFrame:
+    """``(a, b, hot, at, label)`` for rows ``(key, nid, ...bigint columns)``: pairs of one key that pass keep.
 
     Rows are hash-partitioned by key and stream through each task in key order, so
     memory is bounded by a batch and one run. Rows of a key with more than limit
-    rows come out as (nid, null, key) and are paired otherwise.
+    rows come out as (nid, null, key, at, label) and are paired otherwise. Across, only
+    pairs of two sides (the lowest bit of ``at``) are formed.
     """
     names = rows.columns
+    none = lambda n: pa.nulls(n, pa.int64())
+
+    def hot_rows(c: dict[str, np.ndarray]) -> pa.RecordBatch:
+        n = len(c["nid"])
+        more = [pa.array(c[x]) if x in c else none(n) for x in ("at", "label")]
+        return pa.RecordBatch.from_arrays([pa.array(c["nid"]), none(n), pa.array(c["key"]), *more], ["a", "b", "hot", "at", "label"])
 
     def emit(cols: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
-        pairs, hot = run_pairs(cols["key"], limit)
+        pairs, hot = run_pairs(cols["key"], limit, cols["at"] & 1 if across else None)
         for x, y in pairs:
             ok = keep(cols, x, y)
             a, b = cols["nid"][x[ok]], cols["nid"][y[ok]]
             if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.nulls(len(a), pa.int64())], ["a", "b", "hot"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), none(len(a)), none(len(a)), none(len(a))], ["a", "b", "hot", "at", "label"])
         if hot.any():
-            yield pa.RecordBatch.from_arrays([pa.array(cols["nid"][hot]), pa.nulls(int(hot.sum()), pa.int64()), pa.array(cols["key"][hot])], ["a", "b", "hot"])
+            yield hot_rows({n: v[hot] for n, v in cols.items()})
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: dict[str, np.ndarray] | None = None
@@ -88,7 +114,7 @@ def paired(rows: DataFrame, keep: Callable[[dict[str, np.ndarray], np.ndarray, n
             if longer is not None:
                 same = int(np.searchsorted(cols["key"] != longer, True)) if (cols["key"] != longer).any() else len(cols["key"])
                 if same:
-                    yield pa.RecordBatch.from_arrays([pa.array(cols["nid"][:same]), pa.nulls(same, pa.int64()), pa.array(cols["key"][:same])], ["a", "b", "hot"])
+                    yield hot_rows({n: v[:same] for n, v in cols.items()})
                     cols = {n: v[same:] for n, v in cols.items()}
                 if not len(cols["key"]):
                     continue
@@ -105,25 +131,40 @@ def paired(rows: DataFrame, keep: Callable[[dict[str, np.ndarray], np.ndarray, n
         if rest is not None:
             yield from emit(rest)
 
-    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(stream, "a bigint, b bigint, hot bigint")
+    order = ["key", F.col("at").bitwiseAND(1)] if across else ["key"]
+    return rows.repartition("key").sortWithinPartitions(*order).mapInArrow(stream, PAIRS)
 
 
 def close_sketch(bound: float) -> Callable[[dict[str, np.ndarray], np.ndarray, np.ndarray], np.ndarray]:
     """keep for ``paired``: sizes and sketches allow an edit distance within the bound."""
 
     def keep(c: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        most = bound * (c["n"][i] + c["n"][j]) + EPS
-        ok = np.abs(c["n"][i] - c["n"][j]) <= most
+        n = c["at"] >> 32
+        most = bound * (n[i] + n[j]) + EPS
+        ok = np.abs(n[i] - n[j]) <= most
         ok &= np.bitwise_count((c["sk"][i] ^ c["sk"][j]).view(np.uint64)) <= most
         return ok
 
     return keep
 
 
-def close_columns(bound: float, n1: Column, n2: Column, s1: Column, s2: Column) -> Column:
-    """The same test as ``close_sketch``, as a column."""
-    most = F.lit(bound) * (n1 + n2) + F.lit(EPS)
-    return (F.abs(n1 - n2) <= most) & (F.bit_count(s1.bitwiseXOR(s2)) <= most)
+def allowed(threshold: float, d: int = 0) -> Callable[[dict[str, np.ndarray], np.ndarray, np.ndarray], np.ndarray]:
+    """keep for ``paired``: two strings whose common word d (from 0) is at these positions have room for enough common words, and near sketches.
+
+    With a column ``label``, pairs of one label are dropped: they are connected already.
+    """
+    near = close_sketch(edit_bound(threshold))
+    share = threshold / (1 + threshold)
+
+    def keep(c: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        n, p = c["at"] >> 32, (c["at"] & 0xFFFFFFFF) >> 1
+        ok = d + np.minimum(n[i] - p[i], n[j] - p[j]) >= share * (n[i] + n[j]) - EPS
+        if "label" in c:
+            ok &= c["label"][i] != c["label"][j]
+        ok[ok] = near(c, i[ok], j[ok])
+        return ok
+
+    return keep
 
 
 def _flat(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -195,13 +236,3 @@ def verified(pairs: DataFrame, sets: DataFrame, bound: float) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(ok)), batch.column("b").filter(pa.array(ok))], ["a", "b"])
 
     return both.mapInArrow(check, "a bigint, b bigint")
-
-
-def heavy_words(sets: DataFrame, rows: int, share: float, least: int = 1) -> dict[int, int]:
-    """Document counts of the words that occur in more than share of the sets and in more than least.
-
-    At most (mean set size) / share words can, whatever the number of sets, so the
-    result has a bound that does not grow with the data.
-    """
-    counts = sets.select(F.explode("w").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
-    return {r["word"]: r["n"] for r in counts.where(F.col("n") > F.lit(max(float(least), share * rows))).toLocalIterator()}
