@@ -252,6 +252,15 @@ def test_token_counts_are_exact(spark, name):
     assert tokens.token_counts(df.limit(0), "doc", F.col("t"), path).count() == 0
 
 
+def test_counts_do_not_depend_on_length_when_a_key_repeats(spark):
+    texts = ["bir ikki " * 30, "uch - " * 50, "qisqa", None, "qisqa"]
+    df = spark.createDataFrame([(1, t) for t in texts], "doc int, t string").coalesce(1)
+    whole = sorted(tuple(r) for r in tokens.token_counts(df, "doc", F.col("t")).collect())
+    assert whole == sorted(tuple(r) for r in tokens.token_counts(df, "doc", F.col("t"), oversized=20).collect()) and len(whole) == 5
+    a = quality.quality_counts(df, "doc", F.col("t")).collect()
+    assert sorted(map(tuple, a)) == sorted(map(tuple, quality.quality_counts(df, "doc", F.col("t"), 20).collect())) and len(a) == 5
+
+
 def test_slice_totals(spark):
     df = spark.createDataFrame([("d", "s", "uz", "n", 5), ("d", "s", "ru", "n", 7), ("d", None, None, None, None)], "tbl string, source string, lang string, domain string, tokens bigint")
     t = {(r["level"], r["source"], r["lang"]): (r["rows"], r["tokens"]) for r in tokens.slice_totals(df).collect()}
@@ -335,6 +344,11 @@ def test_quality_kinds_and_chunks(spark):
     assert quality.text_quality(df.limit(0), "doc_id", F.col("t")).count() == 0
 
 
+def test_rules_are_parameters(spark):
+    df = spark.createDataFrame([(1, QUALITY[1][1])], "doc_id int, t string")
+    assert quality.text_quality(df, "doc_id", F.col("t"), rules=quality.Rules(structured=2.0, short_lines=99)).first()["kind"] == "prose"
+
+
 def test_quality_of_a_huge_text(spark):
     text = "Bu gap tugadi. " * 40_000 + "\n" + "- olma\n" * 20
     df = spark.createDataFrame([(1, text)], "doc_id int, t string")

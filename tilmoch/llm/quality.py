@@ -9,6 +9,7 @@ neighbours closes the line between them.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 
 from tilmoch.llm import codepoints as C
 from tilmoch.llm.tokens import OVERSIZED, chunk_texts
+from tilmoch.session import drop_shared, shared_table
 
 #: A word is common if it makes up at least this share of all words of the corpus, so at most 1 / share words are.
 COMMON_SHARE = 1 / 5000
@@ -225,7 +227,7 @@ def count_rows(cps: np.ndarray, off: np.ndarray, common: np.ndarray) -> tuple[np
 # A chunk's state: the sums of the lines it holds whole, its open first and last line, whether blanks part
 # the first from the cut (hg), its first and last words.
 # ``one`` says that the chunk is part of a single line, kept in the head alone.
-STATE = "key_hash bigint, chunk bigint, sums array<bigint>, one boolean, head array<bigint>, hb boolean, he boolean, hg boolean, tail array<bigint>, tb boolean, te boolean, hw array<bigint>, tw array<bigint>"
+STATE = "chunk bigint, sums array<bigint>, one boolean, head array<bigint>, hb boolean, he boolean, hg boolean, tail array<bigint>, tb boolean, te boolean, hw array<bigint>, tw array<bigint>"
 
 
 def chunk_state(cps: np.ndarray, off: np.ndarray, common: np.ndarray) -> list[dict]:
@@ -312,10 +314,10 @@ def state_counts(s: dict) -> np.ndarray:
 _ARRAYS = ("sums", "head", "tail", "hw", "tw")
 
 
-def _state_batch(keys: pa.Array, chunks: list[int], states: list[dict], key_type: pa.DataType) -> pa.RecordBatch:
-    names = ["key", "chunk", "sums", "one", "head", "hb", "he", "hg", "tail", "tb", "te", "hw", "tw"]
-    cols = [keys.cast(key_type), pa.array(chunks, pa.int64())]
-    for n in names[2:]:
+def _state_batch(rows: pa.Array, keys: pa.Array, chunks: list[int], states: list[dict]) -> pa.RecordBatch:
+    names = ["row", "key", "chunk", "sums", "one", "head", "hb", "he", "hg", "tail", "tb", "te", "hw", "tw"]
+    cols = [rows, keys, pa.array(chunks, pa.int64())]
+    for n in names[3:]:
         if n in _ARRAYS:
             cols.append(pa.array([np.asarray(s[n], np.int64) for s in states], pa.list_(pa.int64())))
         else:
@@ -334,20 +336,19 @@ def common_words(df: DataFrame, text: str, share: float = COMMON_SHARE) -> np.nd
                 yield pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), pa.array(n)], ["w", "n"])
 
     counts = df.select(text).where(F.col(text).isNotNull()).mapInArrow(count, "w bigint, n bigint").groupBy("w").agg(F.sum("n").alias("n"))
-    counts = counts.persist()
+    counts = shared_table(counts, "words")
     total = counts.agg(F.sum("n")).first()[0] or 0
     found = [r["w"] for r in counts.where(F.col("n") >= F.lit(max(2.0, share * total))).toLocalIterator()]
-    counts.unpersist()
+    drop_shared(counts)
     return np.sort(np.array(found, np.int64).view(np.uint64))
 
 
 def quality_counts(df: DataFrame, key: str, text: Column, oversized: int = OVERSIZED, common: np.ndarray | None = None) -> DataFrame:
-    """``(key, <COUNTS>)``: exact counts of each text, one row per row of df.
+    """``(key, <COUNTS>)``: exact counts of each text, one row per row of df, whatever its length and however often its key occurs.
 
     Null and empty texts have zeros. Texts up to oversized characters are counted
     where they are read; longer ones are cut into chunks that all workers share,
-    and chunk states are merged by a tree of fan-in 64. Rows of longer texts whose
-    key repeats must hold equal texts; their key comes out once.
+    and chunk states are merged by a tree of fan-in 64 until each row has one.
     """
     rows = df.select(F.col(f"`{key}`").alias("key"), text.alias("text"))
     words = common_words(rows, "text") if common is None else common
@@ -366,16 +367,15 @@ def quality_counts(df: DataFrame, key: str, text: Column, oversized: int = OVERS
         for batch in batches:
             for i in range(batch.num_rows):
                 s = chunk_state(*C.decode(batch.column("text").slice(i, 1)), shared.value)
-                yield _state_batch(batch.column("key").slice(i, 1), batch.column("chunk").slice(i, 1).to_pylist(), s, batch.column("key").type)
+                yield _state_batch(batch.column("row").slice(i, 1), batch.column("key").slice(i, 1), batch.column("chunk").slice(i, 1).to_pylist(), s)
 
     def merge(t: pa.Table) -> pa.Table:
         t = t.combine_chunks()
-        recs = sorted(t.select([n for n in t.column_names if n not in ("key",)]).to_pylist(), key=lambda r: r["chunk"])
-        recs = [r for i, r in enumerate(recs) if not i or r["chunk"] != recs[i - 1]["chunk"]]
+        recs = sorted(t.drop_columns(["row", "key"]).to_pylist(), key=lambda r: r["chunk"])
         acc = recs[0]
         for r in recs[1:]:
             acc = merge_states(acc, r)
-        return pa.Table.from_batches([_state_batch(t["key"].slice(0, 1).combine_chunks(), [recs[0]["chunk"] // FAN_IN], [acc], t["key"].type)])
+        return pa.Table.from_batches([_state_batch(t["row"].slice(0, 1).combine_chunks(), t["key"].slice(0, 1).combine_chunks(), [recs[0]["chunk"] // FAN_IN], [acc])])
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -384,37 +384,53 @@ def quality_counts(df: DataFrame, key: str, text: Column, oversized: int = OVERS
 
     schema = f"key {kt}, " + ", ".join(f"{c} bigint" for c in COUNTS)
     small = rows.where(F.coalesce(F.length("text"), F.lit(0)) <= oversized).mapInArrow(count, schema)
-    big = rows.where(F.length("text") > oversized)
-    longest = big.agg(F.max(F.octet_length("text"))).first()[0]
-    if longest is None:
-        return small
-    tree = chunk_texts(big, "key", "text", oversized, True).repartition("key", "chunk")
-    state = STATE.replace("key_hash bigint", f"key {kt}")
-    tree = tree.mapInArrow(states, state)
-    chunks = longest // oversized + 1
+    big = rows.withColumn("row", F.monotonically_increasing_id()).where(F.length("text") > oversized)
+    state = f"row bigint, key {kt}, {STATE}"
+    tree = chunk_texts(big, ["row", "key"], "text", oversized, True).repartition("row", "chunk").mapInArrow(states, state)
     while True:
-        tree = tree.groupBy("key", F.floor(F.col("chunk") / FAN_IN).alias("_part")).applyInArrow(merge, state)
-        if chunks <= FAN_IN:
+        tree = shared_table(tree.groupBy("row", F.floor(F.col("chunk") / FAN_IN).alias("_part")).applyInArrow(merge, state), "states")
+        if not tree.agg(F.max("chunk")).first()[0]:  # each row has one state, or there is none
             break
-        chunks = -(-chunks // FAN_IN)
     return small.unionByName(tree.mapInArrow(finish, schema))
 
 
-def ratios(counts: DataFrame) -> DataFrame:
+@dataclass(frozen=True)
+class Rules:
+    """Thresholds of the rule outcomes. Shares are of a text's characters, words or tokens, as named."""
+
+    structured: float = 0.5  #: share of characters in lines of tables, lists, items and runs of short lines
+    short_lines: int = 4  #: fewer short lines are a heading or a short text
+    noise: float = 0.02  #: control and replacement characters
+    symbols: float = 0.15  #: characters that are no letter, digit, blank or plain punctuation
+    only_symbols: float = 0.45  #: junk whatever the layout
+    mixed: float = 0.2  #: tokens of letters with symbols inside
+    mixed_tokens: int = 4
+    echoes: float = 0.7  #: words that repeat one of the ECHO words before them
+    echo_words: int = 12
+    common: float = 0.03  #: least share of common words in running text
+    common_words: int = 30
+    common_prose: float = 0.5  #: share of characters in running lines from which that holds
+    mean_word: float = 18
+    mean_chars: int = 40
+
+
+def ratios(counts: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """Ratios and the rule outcome ``kind``: prose, list, table, junk, or null for a text without characters."""
     c = {n: F.col(n) for n in COUNTS}
     some = F.greatest(c["chars"], F.lit(1))
     share = {k: c[f"{k}_chars"] / some for k in ("bullet", "short", "table", "list", "prose")}
-    short = F.when(c["short_lines"] >= 4, share["short"]).otherwise(0.0)  # a few short lines are a heading or a short text
+    short = F.when(c["short_lines"] >= rules.short_lines, share["short"]).otherwise(0.0)
     mean = F.when(c["words"] > 0, c["word_chars"] / c["words"])
-    repeated = (c["all_words"] >= 12) & (c["echoes"] > 0.7 * c["all_words"])
-    strange = (c["all_words"] >= 30) & (c["common"] < 0.03 * c["all_words"])
+    repeated = (c["all_words"] >= rules.echo_words) & (c["echoes"] > rules.echoes * c["all_words"])
+    strange = (c["all_words"] >= rules.common_words) & (c["common"] < rules.common * c["all_words"])
+    noisy = c["noise"] > rules.noise * some
     junk = (
-        (c["noise"] > 0.02 * some) | (c["symbols"] > 0.15 * some) | ((c["mixed"] > 0.2 * c["tokens"]) & (c["tokens"] >= 4)) | repeated
-        | ((mean > 18) & (c["chars"] >= 40)) | ((c["letters"] == 0) & (c["digits"] == 0)) | (strange & (share["prose"] > 0.5))
+        noisy | (c["symbols"] > rules.symbols * some) | ((c["mixed"] > rules.mixed * c["tokens"]) & (c["tokens"] >= rules.mixed_tokens)) | repeated
+        | ((mean > rules.mean_word) & (c["chars"] >= rules.mean_chars)) | ((c["letters"] == 0) & (c["digits"] == 0)) | (strange & (share["prose"] > rules.common_prose))
     )
-    structured = share["table"] + share["list"] + share["bullet"] + short > 0.5
-    kind = F.when(c["chars"] == 0, None).when(c["symbols"] > 0.45 * some, "junk").when(structured & (share["table"] >= share["list"] + share["bullet"] + short) & ~repeated & (c["noise"] <= 0.02 * some), "table").when(junk, "junk").when(structured, "list").otherwise("prose")
+    structured = share["table"] + share["list"] + share["bullet"] + short > rules.structured
+    listed = share["list"] + share["bullet"] + short
+    kind = F.when(c["chars"] == 0, None).when(c["symbols"] > rules.only_symbols * some, "junk").when(structured & (share["table"] >= listed) & ~repeated & ~noisy, "table").when(junk, "junk").when(structured, "list").otherwise("prose")
     per_word = F.when(c["all_words"] > 0, c["common"] / c["all_words"])
     return counts.select(
         "key", c["words"], c["lines"], c["chars"],
@@ -424,7 +440,7 @@ def ratios(counts: DataFrame) -> DataFrame:
     )
 
 
-def text_quality(df: DataFrame, key: str, text: Column, oversized: int = OVERSIZED) -> DataFrame:
+def text_quality(df: DataFrame, key: str, text: Column, oversized: int = OVERSIZED, rules: Rules = Rules()) -> DataFrame:
     """Quality statistics and kind of each text (see ``quality_counts`` and ``ratios``).
 
     Null, empty and blank texts have zero counts, null ratios and a null kind. A
@@ -432,4 +448,4 @@ def text_quality(df: DataFrame, key: str, text: Column, oversized: int = OVERSIZ
     by the share of characters in lines of each sort. Other columns are not read;
     an empty table gives an empty result.
     """
-    return ratios(quality_counts(df, key, text, oversized))
+    return ratios(quality_counts(df, key, text, oversized), rules)

@@ -25,22 +25,21 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 def p1_rows(spark: SparkSession, sf: str) -> DataFrame:
     """Tokens of every document and record, with one name per source, one spelling per language, and the domain."""
-    cat = table(spark, sf, "source_catalog")
-    cat = cat.select(source_name(F.col("source")).alias("k"), F.col("source").alias("name"), F.col("lang").alias("cat_lang"), F.col("domain").alias("cat_domain")).dropDuplicates(["k"])
+    cat = table(spark, sf, "source_catalog").groupBy(source_name(F.col("source")).alias("k")).agg(F.min(F.struct(F.col("source").alias("name"), F.col("lang").alias("cat_lang"), F.col("domain").alias("cat_domain"))).alias("c")).select("k", "c.*")
     docs, ner = table(spark, sf, "documents"), table(spark, sf, "ner_records")
-    # what a row is labelled with travels beside its key, so that no join brings it back
-    doc = docs.select(F.struct(F.col("doc_id").cast("string").alias("id"), F.lit("documents").alias("tbl"), "source", "lang", "domain").alias("key"), "text")
-    rec = ner.select(F.struct("id", F.lit("ner_records").alias("tbl"), "source", F.lit(None).cast("string").alias("lang"), F.lit(None).cast("string").alias("domain")).alias("key"), joined(F.col("tokens")).alias("text"))
-    n = token_counts(doc.unionByName(rec), "key", F.col("text")).select("key.*", "tokens", "cyrillic")
+    # what a row is labelled with travels beside its key, so that no join brings it back; each table is counted on its own, once
+    doc = token_counts(docs.select(F.struct(F.col("doc_id").cast("string").alias("id"), "source", "lang", "domain").alias("key"), "text"), "key", F.col("text"))
+    rec = token_counts(ner.select(F.struct("id", "source").alias("key"), joined(F.col("tokens")).alias("text")), "key", F.col("text"))
+    # a second delivery is the same row: its key counts once
+    rec = rec.groupBy("key.id").agg(F.max("tokens").alias("tokens"), F.max("key.source").alias("source"), F.max("cyrillic").alias("cyrillic"))
+    none = F.lit(None).cast("string")
+    n = doc.select(F.lit("documents").alias("tbl"), "key.id", "key.source", "key.lang", "key.domain", "tokens", "cyrillic")
+    n = n.unionByName(rec.select(F.lit("ner_records").alias("tbl"), "id", "source", none.alias("lang"), none.alias("domain"), "tokens", "cyrillic"))
     n = n.join(cat, source_name(F.col("source")) == F.col("k"), "left")
-    out = n.select(
+    return n.select(
         "tbl", F.col("id").alias("row_key"), "tokens", F.coalesce("name", F.when(F.col("source").isNotNull(), source_name(F.col("source"))), F.lit("unknown")).alias("source"),
         language(F.col("lang"), F.col("cat_lang"), F.col("cyrillic")).alias("lang"), F.coalesce("domain", "cat_domain", F.lit("unknown")).alias("domain"),
     )
-    docs_out, recs = out.where("tbl = 'documents'"), out.where("tbl = 'ner_records'")
-    # a second delivery is the same row: its key counts once
-    once = recs.groupBy("tbl", "row_key").agg(*(F.max(c).alias(c) for c in ("tokens", "source", "lang", "domain")))
-    return docs_out.unionByName(once)
 
 
 def p1_totals(spark: SparkSession, sf: str) -> DataFrame:

@@ -129,8 +129,8 @@ def _cyrillic(arr: pa.Array) -> np.ndarray:
     return np.diff(total[off]) > 0
 
 
-def chunk_texts(df: DataFrame, key: str, text: str, size: int, cuttable: bool) -> DataFrame:
-    """``(key, chunk, text)``: texts cut at proven places into chunks of about size bytes; a stretch without such a place stays whole."""
+def chunk_texts(df: DataFrame, columns: list[str], text: str, size: int, cuttable: bool) -> DataFrame:
+    """``(columns, chunk, text)``: texts cut at proven places into chunks of about size bytes; a stretch without such a place stays whole."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -141,25 +141,26 @@ def chunk_texts(df: DataFrame, key: str, text: str, size: int, cuttable: bool) -
                 grid = np.unique(np.concatenate([at[:1], at[np.minimum(np.searchsorted(at, np.arange(size, len(data), size)), len(at) - 1)]]))
                 ends = np.append(grid, len(data)).astype(np.int32)
                 parts = pa.StringArray.from_buffers(len(grid), pa.py_buffer(ends.tobytes()), pa.py_buffer(data.tobytes()))
-                keys = batch.column(key).take(pa.array(np.full(len(grid), i)))
-                yield pa.RecordBatch.from_arrays([keys, pa.array(np.arange(len(grid)), pa.int64()), parts], ["key", "chunk", "text"])
+                own = [batch.column(c).take(pa.array(np.full(len(grid), i))) for c in columns]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(np.arange(len(grid)), pa.int64()), parts], [*columns, "chunk", "text"])
 
-    return df.select(key, text).mapInArrow(cut, f"key {df.schema[key].dataType.simpleString()}, chunk bigint, text string")
+    kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in columns)
+    return df.select(*columns, text).mapInArrow(cut, f"{kinds}, chunk bigint, text string")
 
 
 def token_counts(df: DataFrame, key: str, text: Column, tokenizer: str = DEFAULT, oversized: int = OVERSIZED) -> DataFrame:
-    """``(key, tokens, cyrillic)``: the exact number of tokens of each text, one row per row of df.
+    """``(key, tokens, cyrillic)``: the exact number of tokens of each text, one row per row of df, whatever its length and however often its key occurs.
 
     Null and empty texts have 0 tokens. ``cyrillic`` is true if Cyrillic letters
     outnumber ASCII ones. Texts up to oversized characters are counted where they
     are read. Longer ones are cut at proven boundaries, their chunks are spread over
-    all workers by key and chunk number, and chunk counts are summed per text. Rows
-    of longer texts whose key repeats must hold equal texts (a second delivery);
-    their key comes out once. Other columns are not read; an empty table gives an
-    empty result.
+    all workers by row and chunk number, and chunk counts are summed per row. Other
+    columns are not read; an empty table gives an empty result. Rows are numbered
+    where they are read, so df must come in one order each time (a scan does).
     """
     rows = df.select(F.col(f"`{key}`").alias("key"), text.alias("text"))
-    schema = f"key {rows.schema['key'].dataType.simpleString()}, tokens bigint, cyrillic boolean"
+    kind = rows.schema["key"].dataType.simpleString()
+    schema = f"key {kind}, tokens bigint, cyrillic boolean"
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = counter(tokenizer)
@@ -172,15 +173,14 @@ def token_counts(df: DataFrame, key: str, text: Column, tokenizer: str = DEFAULT
         for batch in batches:
             t = batch.column("text")
             size = pa.array(np.where(_cyrillic(t), 1, -1) * np.diff(C.offsets_of(t)[1]))
-            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("chunk"), pa.array(c.count(t)), size], ["key", "chunk", "tokens", "lean"])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("key"), pa.array(c.count(t)), size], ["row", "key", "tokens", "lean"])
 
     fits = rows.where(F.coalesce(F.length("text"), F.lit(0)) <= oversized).mapInArrow(count, schema)
     if not counter(tokenizer).cuttable:
         return fits.unionByName(rows.where(F.length("text") > oversized).mapInArrow(count, schema))
-    big = chunk_texts(rows.where(F.length("text") > oversized), "key", "text", oversized, True)
-    parts = big.repartition("key", "chunk").mapInArrow(count_chunks, f"key {rows.schema['key'].dataType.simpleString()}, chunk bigint, tokens bigint, lean bigint")
-    parts = parts.groupBy("key", "chunk").agg(F.max("tokens").alias("tokens"), F.max("lean").alias("lean"))
-    return fits.unionByName(parts.groupBy("key").agg(F.sum("tokens").alias("tokens"), (F.sum("lean") > 0).alias("cyrillic")))
+    big = rows.withColumn("row", F.monotonically_increasing_id()).where(F.length("text") > oversized)
+    parts = chunk_texts(big, ["row", "key"], "text", oversized, True).repartition("row", "chunk").mapInArrow(count_chunks, f"row bigint, key {kind}, tokens bigint, lean bigint")
+    return fits.unionByName(parts.groupBy("row").agg(F.first("key").alias("key"), F.sum("tokens").alias("tokens"), (F.sum("lean") > 0).alias("cyrillic")).drop("row"))
 
 
 def language(lang: Column, catalog_lang: Column, cyrillic: Column) -> Column:
