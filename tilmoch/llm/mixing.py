@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -23,6 +25,11 @@ def uniform(keys: np.ndarray, seed: int) -> np.ndarray:
     return (h >> np.uint64(11)).astype(np.float64) * 2.0**-53
 
 
+def label(plan: str, source: str, seed: int, level: int) -> int:
+    """63 bits of a hash of all that a draw depends on besides the document."""
+    return int.from_bytes(hashlib.blake2b(repr((plan, source, seed, level)).encode(), digest_size=8).digest(), "little") >> 1
+
+
 def pivotal(p: np.ndarray, w: np.ndarray, u: np.ndarray) -> np.ndarray:
     """Pair fractional probabilities and move token mass between them until at most one stays fractional.
 
@@ -93,8 +100,7 @@ def mix(docs: DataFrame, targets: DataFrame, total: int | None = None, block: in
             order = np.lexsort((ids, -t["tokens"].to_numpy()))  # large ones settle while there is mass left to pair them with
             t = t.take(pa.array(order))
             ids = ids[order]
-            label = int(mix64(np.array([int.from_bytes(repr((t["plan"][0].as_py(), t["source"][0].as_py())).encode()[-8:], "little")], np.uint64))[0] >> np.uint64(1))
-            u = uniform(ids, label ^ (seed + 1000 * level))
+            u = uniform(ids, label(t["plan"][0].as_py(), t["source"][0].as_py(), seed, level))
             p = pivotal(t["p"].to_numpy(), t["tokens"].to_numpy(), u)
             if last:
                 p = np.where((p > 0) & (p < 1), (u < p).astype(float), p)
@@ -119,9 +125,10 @@ def mix(docs: DataFrame, targets: DataFrame, total: int | None = None, block: in
 
 
 def shares(uses: DataFrame, targets: DataFrame) -> DataFrame:
-    """Target and actual share of every target, with its tokens at hand and in use; a source without documents has 0."""
+    """Target and actual share of every target, with its tokens at hand and in use, and the share it falls short by; a source without tokens has 0 and its whole share unmet."""
     per = uses.groupBy("plan", "source").agg(F.count("*").alias("documents"), F.sum("tokens").alias("have_tokens"), F.sum(F.col("tokens") * F.col("uses")).alias("used_tokens"), F.max("uses").alias("most_uses"))
     per = targets.select("plan", "source", "target_share", "max_repeats").join(per, ["plan", "source"], "left")
     per = per.select("plan", "source", "target_share", "max_repeats", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("documents", "have_tokens", "used_tokens", "most_uses")))
     all_ = per.groupBy("plan").agg(F.sum("used_tokens").alias("plan_tokens"))
-    return per.join(all_, "plan").select("*", F.when(F.col("plan_tokens") > 0, F.col("used_tokens") / F.col("plan_tokens")).otherwise(0.0).alias("actual_share"))
+    actual = F.when(F.col("plan_tokens") > 0, F.col("used_tokens") / F.col("plan_tokens")).otherwise(0.0)
+    return per.join(all_, "plan").select("*", actual.alias("actual_share"), F.greatest(F.lit(0.0), F.col("target_share") - actual).alias("unmet_share"))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import heapq
-from bisect import insort
+from bisect import bisect_left, insort
 from collections.abc import Iterable, Sequence
 
 import numpy as np
@@ -66,10 +66,50 @@ def members(tree: object) -> list[int]:
     return out
 
 
+def _repaired(windows: list[tuple[int, object]], sizes: Sequence[int], capacity: int, rounds: int = 4) -> list[list[int]] | None:
+    """Windows none of which is above capacity, by moving items out of overfull ones; None if some find no place.
+
+    What an overfull window gives up is its smallest items, largest of these first,
+    until the rest fits. They go where they leave the least room. While some find no
+    place, the emptiest windows are emptied too and all is placed again, largest first.
+    """
+    boxes, load, loose = [], [], []
+    for s, m in windows:
+        own = sorted(members(m), key=lambda i: sizes[i])
+        while s > capacity:
+            i = next((j for j, x in enumerate(own) if sizes[x] >= s - capacity), len(own) - 1)
+            s -= sizes[own[i]]
+            loose.append(own.pop(i))
+        boxes.append(own)
+        load.append(s)
+    for again in range(rounds + 1):
+        room = sorted((capacity - s, j) for j, s in enumerate(load))
+        left = []
+        for i in sorted(loose, key=lambda i: -sizes[i]):
+            at = bisect_left(room, (sizes[i], -1))
+            if at == len(room):
+                left.append(i)
+                continue
+            r, j = room.pop(at)
+            boxes[j].append(i)
+            load[j] += sizes[i]
+            insort(room, (r - sizes[i], j))
+        if not left:
+            return boxes
+        if again == rounds or sum(sizes[i] for i in left) > sum(r for r, _ in room):
+            return None
+        loose = left
+        for _, j in room[-(len(left) << (again + 2)) :]:
+            loose += boxes[j]
+            boxes[j], load[j] = [], 0
+    return None
+
+
 def fill_windows(sizes: np.ndarray, capacity: int) -> np.ndarray:
     """Window of each item, none above capacity (items must fit).
 
-    The window count starts at a lower bound and rises whenever capacity is exceeded.
+    The window count starts at a lower bound; windows that differencing leaves
+    overfull are repaired, and where that fails the count rises.
     """
     if not len(sizes):
         return np.zeros(0, np.int64)
@@ -77,21 +117,21 @@ def fill_windows(sizes: np.ndarray, capacity: int) -> np.ndarray:
     s = sizes[order].tolist()
     big = int((sizes * 2 > capacity).sum())  # no two of these share a window
     k = max(1, -(-int(sizes.sum()) // capacity), big)
-    full = lambda ws: any(w > capacity for w, _ in ws)
-    windows, low, step = differencing(s, k), k - 1, 1
-    while full(windows):  # the rise doubles until everything fits, then the last rise is halved down
+    fit = lambda k: _repaired(differencing(s, k), s, capacity)
+    boxes, low, step = fit(k), k - 1, 1
+    while boxes is None:  # the rise doubles until everything fits, then the last rise is halved down
         low, k, step = k, k + step, 2 * step
-        windows = differencing(s, k)
+        boxes = fit(k)
     while k - low > 1:
         mid = (k + low) // 2
-        fewer = differencing(s, mid)
-        if full(fewer):
+        fewer = fit(mid)
+        if fewer is None:
             low = mid
         else:
-            k, windows = mid, fewer
+            k, boxes = mid, fewer
     out = np.zeros(len(sizes), np.int64)
-    for j, (_, m) in enumerate(windows):
-        out[order[members(m)]] = j
+    for j, m in enumerate(boxes):
+        out[order[m]] = j
     return out
 
 
@@ -125,9 +165,10 @@ def pack(items: DataFrame, capacities: Iterable[tuple[int, int]], block: int = B
     capacity is cut into full containers of its own and a rest that is packed like
     any item; no other item is split. Items of 0 or null tokens take part with size
     0. Blocks are drawn by a hash of the id, about ``block`` items each whatever the
-    number of items, and packed independently; a block wastes less than one
-    container more than it must. Null or non-positive capacities are left out; no
-    items or no capacities give an empty result.
+    number of items, and packed independently, many by one task where there are many;
+    each may end with a container that another block could have filled. Null or
+    non-positive capacities are left out; no items or no capacities give an empty
+    result.
     """
     specs = sorted({(int(i), int(c)) for i, c in capacities if i is not None and c is not None and c > 0})
     rows = items.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("tokens", F.lit(0)).cast("bigint").alias("tokens"))
@@ -149,7 +190,10 @@ def pack(items: DataFrame, capacities: Iterable[tuple[int, int]], block: int = B
             out.append(pa.Table.from_arrays([pa.array(c.astype(np.int64)) for c in cols], names))
         return pa.concat_tables(out) if out else pa.Table.from_arrays([pa.array([], pa.int64())] * len(names), names)
 
-    rows = rows.repartition(blocks, "block")  # else adaptive execution may put all these small rows into one task
+    # as many partitions as the session can use, not as many as there are blocks; else adaptive execution may put all these small rows into one task
+    spark = items.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    rows = rows.repartition(min(blocks, tasks), "block")
     return rows.groupBy("block").applyInArrow(run, ", ".join(f"{c} bigint" for c in names))
 
 
