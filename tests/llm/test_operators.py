@@ -11,7 +11,7 @@ from tilmoch.llm import codepoints as C
 from tilmoch.llm import darts, format_copies, near_duplicates, packing, quality, set_pairs, tokens
 from tilmoch.llm.components import components
 from tilmoch.llm.cross_split import cross_split_pairs, cut_words
-from tilmoch.llm.eval_leaks import leaks
+from tilmoch.llm.eval_leaks import leaks, without_leaks
 from tilmoch.llm.mixing import mix, pivotal, shares
 from tilmoch.llm.near_duplicates import group_pairs, hot_links, near_duplicate_groups, representatives
 
@@ -232,9 +232,30 @@ def test_leaks(spark, limit):
     corpus = spark.createDataFrame(texts, "row_key string, text string").withColumn("item_id", F.lit("clash"))
     got = leaks(corpus, items, 8, limit)
     assert sorted((r["row_key"], r["item_id"]) for r in got.collect()) == [("a", "i1"), ("c", "i2"), ("c", "i5"), ("f", "i1")]
+    assert {(r["row_key"], r["item_id"]): r["n_words"] for r in got.collect()} == {("a", "i1"): 8, ("c", "i2"): 2, ("c", "i5"): 2, ("f", "i1"): 9}
     assert leaks(corpus.limit(0), items).count() == 0 and leaks(corpus, items.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("limit", [2_000_000, 0])
+def test_leaked_spans_are_removed(spark, limit):
+    words = [f"soʻz{i}" for i in range(1, 11)]
+    items = spark.createDataFrame([("i1", " ".join(words)), ("i2", "qisqa matn"), ("i3", ""), ("i4", None)], "item_id string, text string")
+    four = " ".join(words[:4])
+    texts = [
+        ("a", "Boshi, " + " ".join(words) + "! Oxiri"), ("b", "bu Qisqa-Matn! ekan"), ("c", "toza matn"), ("d", None), ("e", ""), ("f", " ".join(words[:7])),
+        ("g", f"{four} {' '.join(words[:8])} {' '.join(words[4:8])} keyin"), ("a", "qisqa matn"), ("h", "  TOZA   Matn ﬁ "),
+    ]
+    corpus = spark.createDataFrame(texts, "row_key string, text string").withColumn("removed_words", F.lit("clash"))
+    got = sorted((r["row_key"], r["text"] if r["text"] is None else " ".join(r["text"].split()), r["removed_words"]) for r in without_leaks(corpus, items, 8, limit).collect())
+    want = [("a", "", 2), ("a", "Boshi, ! Oxiri", 10), ("b", "bu ! ekan", 2), ("c", "toza matn", 0), ("d", None, 0), ("e", "", 0), ("f", " ".join(words[:7]), 0), ("g", "keyin", 16), ("h", "TOZA Matn ﬁ", 0)]
+    assert got == want
+    again = spark.createDataFrame([(k, t) for k, t, _ in got], "row_key string, text string")
+    assert leaks(again, items).count() == 0
+    kept = without_leaks(corpus, items, 8, limit, documents=True)
+    assert sorted(r["row_key"] for r in kept.collect()) == ["c", "d", "e", "f", "h"]
+    assert without_leaks(corpus.limit(0), items, 8, limit).count() == 0
+
+
 TOKENIZERS = ["byte_bpe_50k.tiktoken", "byte_bpe_multi_50k.tiktoken", "byte_bpe_50k.json", "piece_bpe_32k.model"]
 
 

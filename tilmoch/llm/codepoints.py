@@ -437,6 +437,29 @@ def word_text(cps: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return out[keep], ends[off]
 
 
+def word_spans(cps: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Consistent form and its row offsets; where each word begins and ends in it; the number of words of each row."""
+    t = tables()
+    cps, off, _ = fold_points(cps, off)
+    length = t.llength[cps]
+    src = np.repeat(np.arange(len(cps)), length)
+    low, ends = gather(cps, off, t.lstart[cps], length)
+    keep = ~t.apostrophe[low]
+    kept = np.zeros(len(low) + 1, np.int64)
+    np.cumsum(keep, out=kept[1:])
+    low, src, ends = low[keep], src[keep], kept[ends]
+    at = np.flatnonzero(t.alnum[low])
+    new = np.ones(len(at), bool)
+    new[1:] = at[1:] != at[:-1] + 1
+    row = np.searchsorted(ends, at, side="right") - 1
+    new[1:] |= row[1:] != row[:-1]
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(at)) - 1
+    if not len(at):
+        first = last = np.zeros(0, np.int64)
+    return cps, off, src[at[first]], src[at[last]] + 1, np.bincount(row[first], minlength=len(off) - 1)
+
+
 def slices(arr: pa.Array, limit: int = 1 << 19) -> Iterator[pa.Array]:
     """Row slices of about limit bytes, so that temporaries stay in cache; a longer row is a slice of its own."""
     if isinstance(arr, pa.ChunkedArray):

@@ -7,9 +7,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tilmoch.llm import codepoints as C
+from tilmoch.llm.sketches import bloom, in_bloom
+from tilmoch.session import shared_table
 
 #: An n-gram takes about 40 bytes on a worker; above this many the item side is no longer broadcast but joined.
 BROADCAST_NGRAMS = 2_000_000
@@ -86,7 +89,8 @@ def leaks(corpus: DataFrame, items: DataFrame, width: int = 8, limit: int = BROA
     item without words is found nowhere, rows that occur twice come out once and
     empty tables give an empty result. The items are a stated evaluation set; their
     windows are counted first, and broadcast only up to limit. The scan is narrow;
-    only hits are shuffled. Beyond limit, windows of both sides meet in a join.
+    only hits are shuffled. Beyond limit, windows of the widths that items have meet in a
+    join, those of the corpus past a Bloom filter of the items' windows; the result is the same.
     """
     spark = corpus.sparkSession
     items = items.select(F.col("item_id").cast("string"), "text").where("text IS NOT NULL AND item_id IS NOT NULL")
@@ -119,8 +123,12 @@ def leaks(corpus: DataFrame, items: DataFrame, width: int = 8, limit: int = BROA
     return hits.groupBy("row_key", "item_id").agg(F.max("n_words").alias("n_words"))
 
 
-def _window_rows(df: DataFrame, key: str, width: int, short: bool) -> DataFrame:
-    """``(key, g, ws)``: every window with its words; short gives rows of fewer words as one window each."""
+def _windows_of(df: DataFrame, keys: list[str], widths: list[int], bits: np.ndarray | None, short: bool) -> DataFrame:
+    """``(keys, place, g, ws)``: hash, words and first word of each window of the widths; short gives a row of fewer words than the last width as one window.
+
+    With bits, only windows that pass the Bloom filter come out.
+    """
+    shared = df.sparkSession.sparkContext.broadcast(bits)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -128,20 +136,123 @@ def _window_rows(df: DataFrame, key: str, width: int, short: bool) -> DataFrame:
             for part in C.slices(batch.column("text")):
                 h, n = C.word_hashes(*C.decode(part))
                 row = np.repeat(np.arange(len(n)), n)
-                for k in range(1, width + 1):
-                    take = n == k if short and k < width else np.ones(len(n), bool) if not short or k == width else np.zeros(len(n), bool)
+                first = np.cumsum(n) - n
+                for k in widths:
                     g, at = windows(h, n, k)
-                    ok = take[row[at]]
+                    ok = np.ones(len(g), bool) if shared.value is None else in_bloom(g, shared.value)
+                    if short and k < widths[-1]:
+                        ok &= n[row[at]] == k
                     g, at = g[ok], at[ok]
-                    ws = pa.FixedSizeListArray.from_arrays(pa.array(h[at[:, None] + np.arange(k)].ravel().view(np.int64)), k).cast(pa.list_(pa.int64()))
-                    yield pa.RecordBatch.from_arrays([batch.column(key).take(pa.array(row[at] + done)), pa.array(g.view(np.int64)), ws], [key, "g", "ws"])
+                    if len(g):
+                        ws = pa.FixedSizeListArray.from_arrays(pa.array(h[at[:, None] + np.arange(k)].ravel().view(np.int64)), k).cast(pa.list_(pa.int64()))
+                        own = [batch.column(x).take(pa.array(row[at] + done)) for x in keys]
+                        yield pa.RecordBatch.from_arrays([*own, pa.array(at - first[row[at]]), pa.array(g.view(np.int64)), ws], [*keys, "place", "g", "ws"])
                 done += len(part)
 
-    return df.mapInArrow(cut, f"{key} string, g bigint, ws array<bigint>")
+    kinds = ", ".join(f"{x} {df.schema[x].dataType.simpleString()}" for x in keys)
+    return df.mapInArrow(cut, f"{kinds}, place bigint, g bigint, ws array<bigint>")
+
+
+def _joined_hits(corpus: DataFrame, items: DataFrame, keys: list[str], width: int) -> DataFrame:
+    """``(keys, item_id, place, k)``: hits by a join on window hashes, of the widths that items have and past a Bloom filter of their windows."""
+    theirs = shared_table(_windows_of(items, ["item_id"], list(range(1, width + 1)), None, True).select("item_id", "g", "ws").distinct(), "windows")
+    widths = sorted(r[0] for r in theirs.select(F.size("ws")).distinct().toLocalIterator())
+    mine = _windows_of(corpus, keys, widths, bloom(theirs, "g"), False)
+    return mine.join(theirs.withColumnRenamed("ws", "words"), "g").where("ws = words").select(*keys, "item_id", "place", F.size("ws").cast("bigint").alias("k"))
 
 
 def _leaks_joined(corpus: DataFrame, items: DataFrame, width: int) -> DataFrame:
-    a = _window_rows(corpus, "row_key", width, False)
-    b = _window_rows(items, "item_id", width, True).distinct()
-    hits = a.join(b, ["g", "ws"]).select("row_key", "item_id", F.size("ws").alias("k"))
-    return hits.groupBy("row_key", "item_id").agg(F.max("k").cast("bigint").alias("n_words"))
+    hits = _joined_hits(corpus.withColumn("row", F.monotonically_increasing_id()), items, ["row", "row_key"], width)
+    end = F.col("place") + F.col("k")
+    before = F.coalesce(F.max(end).over(W.partitionBy("row", "item_id").orderBy("place").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    covered = hits.withColumn("fresh", end - F.greatest(F.col("place"), before)).groupBy("row", "row_key", "item_id").agg(F.sum("fresh").alias("n"))
+    return covered.groupBy("row_key", "item_id").agg(F.max("n").alias("n_words"))
+
+
+def cut_words(text: pa.Array, row: np.ndarray, place: np.ndarray, width: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """The texts in consistent form without the given stretches of words, and how many words each lost."""
+    cps, off, start, end, n = C.word_spans(*C.decode(text))
+    first = (np.cumsum(n) - n)[row] + place
+    edge = np.zeros(len(cps) + 1, np.int64)
+    np.add.at(edge, start[first], 1)
+    np.add.at(edge, end[first + width - 1], -1)
+    keep = np.cumsum(edge[:-1]) == 0
+    lost = np.zeros(int(n.sum()) + 1, np.int64)
+    np.add.at(lost, first, 1)
+    np.add.at(lost, first + width, -1)
+    gone = np.concatenate([[0], np.cumsum(np.cumsum(lost[:-1]) > 0)])
+    ends = np.concatenate([[0], np.cumsum(keep)])
+    word_off = np.concatenate([[0], np.cumsum(n)])
+    return C.encode(cps[keep], ends[off], C.nulls(text)), gone[word_off[1:]] - gone[word_off[:-1]]
+
+
+def _scrubbed(text: pa.Array, grams: dict) -> tuple[pa.Array, np.ndarray]:
+    """Texts without any window of an item, and the words each lost; what a cut brings together is looked at again."""
+    lost = np.zeros(len(text), np.int64)
+    todo, now = np.arange(len(text)), text
+    while len(todo):
+        r, _, place, k = _hits(now, grams)
+        if not len(r):
+            break
+        some, r = np.unique(r, return_inverse=True)
+        now, n = cut_words(now.take(pa.array(some)), r, place, k)
+        todo = todo[some]
+        lost[todo] += n
+        back = np.arange(len(text))
+        back[todo] = len(text) + np.arange(len(todo))
+        text = pa.concat_arrays([text, now]).take(pa.array(back))
+    return text, lost
+
+
+def without_leaks(corpus: DataFrame, items: DataFrame, width: int = 8, limit: int = BROADCAST_NGRAMS, documents: bool = False) -> DataFrame:
+    """``(row_key, text, removed_words)``: the corpus without what leaked, one row per row that stays.
+
+    Every stretch of words that holds width consecutive words of an item, or all of a
+    shorter one, is cut out; where a cut brings words together that make up such a
+    window, these go too, so nothing that ``leaks`` finds is left. A text that loses
+    words comes in consistent form, any other as it was. With documents, rows that hold
+    a window are left out whole. Null texts stay null, empty tables give an empty
+    result. Up to limit item words the step is narrow; beyond it hits come from the join.
+    """
+    spark = corpus.sparkSession
+    items = items.select(F.col("item_id").cast("string"), "text").where("text IS NOT NULL AND item_id IS NOT NULL")
+    rows = corpus.select(F.col("row_key").cast("string").alias("row_key"), "text")
+    size = items.agg(F.sum(F.size(F.split("text", r"\s+")))).first()[0] or 0
+    schema = "row_key string, text string, removed_words bigint"
+    if size > limit:
+        out = _without_joined(rows, items, width)
+    else:
+        grams = spark.sparkContext.broadcast(item_ngrams(sorted((r[0], r[1]) for r in items.toLocalIterator()), width))
+
+        def scrub(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                done = 0
+                for part in C.slices(batch.column("text")):
+                    text, lost = _scrubbed(part, grams.value)
+                    yield pa.RecordBatch.from_arrays([batch.column("row_key").slice(done, len(part)), text, pa.array(lost)], ["row_key", "text", "removed_words"])
+                    done += len(part)
+
+        out = rows.mapInArrow(scrub, schema)
+    return out.where("removed_words = 0") if documents else out
+
+
+def _without_joined(rows: DataFrame, items: DataFrame, width: int) -> DataFrame:
+    """The same by joins on the row number: rounds of hits and cuts until a round finds none."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.column("at")
+            n = np.asarray(at.value_lengths())
+            flat = at.flatten()
+            text, lost = cut_words(batch.column("text"), np.repeat(np.arange(len(n)), n), flat.field("place").to_numpy(), flat.field("k").to_numpy())
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("row_key"), text, pa.array(lost + batch.column("removed_words").to_numpy())], ["row", "row_key", "text", "removed_words"])
+
+    now = shared_table(rows.select(F.monotonically_increasing_id().alias("row"), "row_key", "text", F.lit(0).cast("bigint").alias("removed_words")), "corpus")
+    fresh = now
+    while True:
+        hits = _joined_hits(fresh.where("text IS NOT NULL"), items, ["row"], width).select("row", "place", "k").distinct()
+        hits = shared_table(hits.groupBy("row").agg(F.collect_list(F.struct("place", "k")).alias("at")), "hits")  # no more than the windows of one text
+        if hits.isEmpty():
+            return now.drop("row")
+        fresh = shared_table(now.join(hits, "row").select("row", "row_key", "text", "removed_words", "at").mapInArrow(cut, now.schema), "cut")
+        now = now.join(hits.select("row"), "row", "left_anti").unionByName(fresh)

@@ -9,11 +9,15 @@ normalised structure before they count as copies.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tilmoch.llm.sketches import bloom, in_bloom
 from tilmoch.llm.text_columns import joined, plain_key, words_text
+from tilmoch.session import shared_table
 
 
 def normal_leaf(value: Column, kind: T.DataType) -> Column:
@@ -57,12 +61,23 @@ def grouped_copies(df: DataFrame, key: str, root: Column, full: Column) -> DataF
 
     ``first_key`` is the smallest key of the group; one row for each other
     key. A key that occurs twice counts once.
-    Rows with a null key are left out. The group minimum is taken with map-side
-    combining, so a group of any size costs one row per map task; its members then
-    meet it in a join on the digest, where adaptive execution splits a hot digest.
-    Only digests that occur at least twice travel to that join's small side.
+    Rows with a null key are left out. First only keys and digests are grouped; the
+    digests that several keys hold go into a Bloom filter of a fixed size, and full
+    structures travel for the rows that pass it alone: those that may have a copy.
+    Group minima are taken with map-side combining, so a group of any size costs one
+    row per map task; its members then meet it in a join on the digest, where adaptive
+    execution splits a hot digest. df is read twice.
     """
     rows = df.select(F.col(f"`{key}`").alias("_k"), F.unhex(root).alias("_d"), full.alias("_f")).where("_k IS NOT NULL")
+    short = F.conv(F.substring(F.hex("_d"), 1, 15), 16, 10).cast("bigint")
+    several = rows.groupBy("_d").agg(F.min("_k").alias("lo"), F.max("_k").alias("hi")).where("lo < hi")
+    shared = df.sparkSession.sparkContext.broadcast(bloom(several.select(short.alias("h")), "h"))
+
+    @F.arrow_udf(T.BooleanType())
+    def may_repeat(h: pa.Array) -> pa.Array:
+        return pa.array(in_bloom(h.to_numpy(zero_copy_only=False).view(np.uint64), shared.value))
+
+    rows = shared_table(rows.where(may_repeat(short)), "repeats")
     # the digest leads every comparison; the structure beside it confirms, so that no collision can merge two groups
     groups = rows.groupBy("_d", "_f").agg(F.min("_k").alias("first_key"), F.max("_k").alias("_last")).where("_last > first_key")
     groups = groups.select(F.col("_d").alias("_gd"), F.col("_f").alias("_gf"), "first_key")

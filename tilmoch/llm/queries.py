@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tilmoch.llm.consistent import consistent_texts
 from tilmoch.llm.cross_split import cross_split_pairs
-from tilmoch.llm.eval_leaks import leaks
+from tilmoch.llm.eval_leaks import leaks, without_leaks
 from tilmoch.llm.format_copies import copy_counts, payload_records, record_copies
 from tilmoch.llm.mixing import mix, shares
 from tilmoch.llm.near_duplicates import group_pairs, near_duplicate_groups
@@ -76,6 +76,20 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     return hits.select(corpus.alias("corpus"), F.expr("substring(row_key, 2)").alias("row_key"), "item_id")
 
 
+def p3_clean(spark: SparkSession, sf: str) -> DataFrame:
+    """The corpora without the leaked spans, and how many words each row lost."""
+    rows = without_leaks(_corpora(spark, sf), _items(spark, sf))
+    corpus = F.when(F.col("row_key").startswith("n"), "ner_records").otherwise("documents")
+    return rows.select(corpus.alias("corpus"), F.expr("substring(row_key, 2)").alias("row_key"), "text", "removed_words")
+
+
+def p3_untouched(spark: SparkSession, sf: str) -> DataFrame:
+    """Keys of the rows that hold no item, which stay when leaking rows are removed whole."""
+    rows = without_leaks(_corpora(spark, sf), _items(spark, sf), documents=True)
+    corpus = F.when(F.col("row_key").startswith("n"), "ner_records").otherwise("documents")
+    return rows.select(corpus.alias("corpus"), F.expr("substring(row_key, 2)").alias("row_key")).distinct()
+
+
 def _fields(spark: SparkSession, sf: str) -> DataFrame:
     parts = [
         consistent_texts(table(spark, sf, "ner_records"), "id", "tokens", "ner_records.tokens"),
