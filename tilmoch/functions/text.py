@@ -142,6 +142,11 @@ def full_text(x: Column) -> Column:
     return squeeze(F.regexp_replace(x, r"[^\p{L}\p{N}_]+", " "))
 
 
+def name_key(x: Column) -> Column:
+    """A name apart from case, blanks and punctuation."""
+    return F.regexp_replace(F.lower(x), r"[^\p{L}\p{N}]+", "")
+
+
 def fingerprint(x: Column) -> Column:
     """STR8: SHA-256 of STR7."""
     return F.sha2(full_text(x), 256)

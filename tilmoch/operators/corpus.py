@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -43,71 +49,103 @@ def stable_rank(key: Column, seed: int) -> Column:
     return F.sha2(F.concat(F.lit(f"{seed}:"), key), 256)
 
 
+#: Samples up to this size are a distributed top-k; larger ones are cut by bucket sizes, so that no task sorts them.
+TOP_K = 20_000
+
+
+def _first(ranked: DataFrame, cap: int, key: str) -> DataFrame:
+    """The first cap rows by ``_rank`` (a string) and key.
+
+    Beyond TOP_K the sizes of the buckets of equal first characters say which buckets
+    are in whole; only the one at the cut is ranked.
+    """
+    if cap <= TOP_K:
+        return ranked.orderBy("_rank", key).limit(cap)
+    ranked = ranked.withColumn("_b", F.substring("_rank", 1, 4))
+    sizes = sorted((r["_b"], r["count"]) for r in ranked.groupBy("_b").count().toLocalIterator())  # at most 65,536 buckets
+    left, whole, cut = cap, "", None
+    for b, n in sizes:
+        if n > left:
+            cut = b
+            break
+        left, whole = left - n, b
+    out = ranked.where(F.col("_b") <= whole)
+    if cut is not None:
+        out = out.unionByName(ranked.where(F.col("_b") == cut).orderBy("_rank", key).limit(left))
+    return out.drop("_b")
+
+
 def stable_sample(df: DataFrame, cap: int, seed: int, key: str = "id") -> DataFrame:
-    """TOP1: the first cap rows by stable rank; a distributed top-k, no global sort of the table."""
-    ranked = df.withColumn("_rank", stable_rank(F.col(key), seed))
-    return ranked.orderBy("_rank", key).limit(cap).drop("_rank")
+    """TOP1: the first cap rows by stable rank, without a global sort of the table."""
+    return _first(df.withColumn("_rank", stable_rank(F.col(key), seed)), cap, key).drop("_rank")
 
 
 def stable_sample_preferring(df: DataFrame, cap: int, seed: int, preferred: Column, key: str = "id") -> DataFrame:
     """TOP2: preferred rows first by one rank, the rest of the cap by another (seed + 17)."""
-    ranked = df.withColumn("_p", F.coalesce(preferred, F.lit(False)))
-    ranked = ranked.withColumn("_rank", F.when(F.col("_p"), stable_rank(F.col(key), seed)).otherwise(stable_rank(F.col(key), seed + 17)))
-    return ranked.orderBy(F.desc("_p"), "_rank", key).limit(cap).drop("_p", "_rank")
+    p = F.coalesce(preferred, F.lit(False))
+    rank = F.when(p, F.concat(F.lit("0"), stable_rank(F.col(key), seed))).otherwise(F.concat(F.lit("1"), stable_rank(F.col(key), seed + 17)))
+    return _first(df.withColumn("_rank", rank), cap, key).drop("_rank")
+
+
+def placed(ranked: DataFrame, key: str = "id") -> DataFrame:
+    """WIN5: ``_at`` is each row's place (from 1) by ``_rank`` (hexadecimal) and key, ``_all`` the number of rows.
+
+    Places are exact without one global window: rows fall into buckets by rank, bucket
+    sizes give each bucket its first place, and rows are ranked within buckets.
+    """
+    ranked = ranked.withColumn("_b", F.conv(F.substring("_rank", 1, 3), 16, 10).cast("int"))
+    sizes = ranked.groupBy("_b").agg(F.count("*").alias("_n"))
+    first = sizes.select("_b", (F.sum("_n").over(W.orderBy("_b").rowsBetween(W.unboundedPreceding, 0)) - F.col("_n")).alias("_first"), F.sum("_n").over(W.partitionBy()).alias("_all"))
+    return ranked.join(first, "_b").withColumn("_at", F.col("_first") + F.row_number().over(W.partitionBy("_b").orderBy("_rank", key))).drop("_b", "_first")
 
 
-def held_out(df: DataFrame, fraction: float, seed: int, group: str = "source", key: str = "id") -> DataFrame:
+def held_out(df: DataFrame, fraction: float, seed: int, group: str = "source", key: str = "id", least: int = 1000) -> DataFrame:
     """TOP3: ``part`` is dev for the first rows of each group by stable rank: the rounded share, at least one and never all, none of a single row.
 
     Group sizes come from an aggregate. A rank is a uniform number, so rows well
     below the cut's quantile are dev and rows well above it train without any sort;
     only the narrow band around it is ranked, after the number of rows below it.
-    So a group with a third of all rows is not sorted by one task.
+    So a group with a third of all rows is not sorted by one task. Groups of fewer
+    than least rows are ranked whole; the result is the same.
     """
     n = df.groupBy(F.col(group).alias("_g")).agg(F.count("*").alias("_n"))
     cut = F.when(F.col("_n") >= 2, F.least(F.greatest(F.lit(1), F.bround(F.col("_n") * fraction).cast("bigint")), F.col("_n") - 1)).otherwise(0)
     sized = df.join(n.withColumn("_cut", cut), F.col(group).eqNullSafe(F.col("_g"))).withColumn("_rank", stable_rank(F.col(key), seed))
     share = F.conv(F.substring("_rank", 1, 13), 16, 10).cast("double") / 2.0**52
-    # ten deviations of the rank at the cut: no row outside the band can be on the wrong side but with negligible probability
+    # ten deviations of the rank at the cut; whether the cut does lie in the band is counted, and where not the group is ranked whole
     middle, margin = F.col("_cut") / F.col("_n"), 10 * F.sqrt(F.col("_cut") + 25) / F.col("_n")
-    zone = F.when(F.col("_n") < 1000, 1).when(share < middle - margin, 0).when(share <= middle + margin, 1).otherwise(2)
+    zone = F.when(F.col("_n") < least, 1).when(share < middle - margin, 0).when(share <= middle + margin, 1).otherwise(2)
     sized = sized.withColumn("_zone", zone)
-    below = sized.groupBy(F.col("_g").alias("_bg")).agg(F.count_if(F.col("_zone") == 0).alias("_below"))
-    band = sized.where("_zone = 1").join(below, F.col("_g").eqNullSafe(F.col("_bg")))
+    counts = sized.groupBy(F.col("_g").alias("_bg")).agg(F.count_if(F.col("_zone") == 0).alias("_below"), F.count_if(F.col("_zone") == 1).alias("_band"))
+    sized = sized.join(counts, F.col("_g").eqNullSafe(F.col("_bg"))).drop("_bg")
+    caught = F.col("_cut").between(F.col("_below"), F.col("_below") + F.col("_band"))
+    sized = sized.withColumn("_zone", F.when(caught, F.col("_zone")).otherwise(1)).withColumn("_below", F.when(caught, F.col("_below")).otherwise(0)).drop("_band")
     place = F.col("_below") + F.row_number().over(W.partitionBy("_g").orderBy("_rank", key))
-    band = band.withColumn("part", F.when(place <= F.col("_cut"), "dev").otherwise("train")).drop("_below", "_bg")
+    band = sized.where("_zone = 1").withColumn("part", F.when(place <= F.col("_cut"), "dev").otherwise("train"))
     rest = sized.where("_zone <> 1").withColumn("part", F.when(F.col("_zone") == 0, "dev").otherwise("train"))
-    return band.unionByName(rest).drop("_g", "_n", "_cut", "_rank", "_zone")
+    return band.unionByName(rest).drop("_g", "_n", "_cut", "_rank", "_zone", "_below")
 
 
 def split_80_10_10(df: DataFrame, seed: int, key: str = "id") -> DataFrame:
-    """TOP4: train, validation and test by stable rank: floor of 80 and 10 percent, the rest test.
-
-    Places are exact without one global window: rows fall into hash buckets, bucket
-    sizes give each bucket its first place, and rows are ranked within buckets.
-    """
-    ranked = df.withColumn("_rank", stable_rank(F.col(key), seed)).withColumn("_b", F.conv(F.substring("_rank", 1, 3), 16, 10).cast("int"))
-    sizes = ranked.groupBy("_b").agg(F.count("*").alias("_n"))
-    first = sizes.select("_b", (F.sum("_n").over(W.orderBy("_b").rowsBetween(W.unboundedPreceding, 0)) - F.col("_n")).alias("_first"), F.sum("_n").over(W.partitionBy()).alias("_all"))
-    placed = ranked.join(first, "_b").withColumn("_at", F.col("_first") + F.row_number().over(W.partitionBy("_b").orderBy("_rank", key)))
+    """TOP4: train, validation and test by stable rank: floor of 80 and 10 percent, the rest test."""
+    x = placed(df.withColumn("_rank", stable_rank(F.col(key), seed)), key)
     train, val = F.floor(F.col("_all") * 0.8), F.floor(F.col("_all") * 0.1)
     part = F.when(F.col("_at") <= train, "train").when(F.col("_at") <= train + val, "validation").otherwise("test")
-    return placed.withColumn("part", part).drop("_rank", "_b", "_first", "_all", "_at")
+    return x.withColumn("part", part).drop("_rank", "_all", "_at")
 
 
 def filter_additions(df: DataFrame, seen: DataFrame, protected: DataFrame, denied: list[str], tokens: str = "tokens", key: str = "id") -> DataFrame:
     """JOIN2: every row with ``fp`` and a ``reason``: denylist, protected text, duplicate (of a seen text or of an earlier id); null if accepted.
 
-    seen and protected have a column ``fp``. The first id of each fingerprint is
-    found by a minimum per fingerprint, combined before the shuffle.
+    seen and protected have a column ``fp``. All three meet in one aggregate per
+    fingerprint, combined before the shuffle; tokens travel once, to the join with it.
     """
     rows = df.withColumn("fp", S.fingerprint(F.array_join(tokens, " ")))
+    mark = lambda x, p, s: x.select("fp", F.lit(None).cast(df.schema[key].dataType).alias("_k"), F.lit(p).alias("_p"), F.lit(s).alias("_s"))
+    marks = rows.select("fp", F.col(key).alias("_k"), F.lit(False).alias("_p"), F.lit(False).alias("_s")).unionByName(mark(protected, True, False)).unionByName(mark(seen, False, True))
+    marks = marks.groupBy("fp").agg(F.min("_k").alias("_first"), F.bool_or("_p").alias("_p"), F.bool_or("_s").alias("_s"))
+    rows = rows.join(marks.where("_first IS NOT NULL"), "fp")
     ok = ~F.col("fp").isin(*denied) if denied else F.lit(True)
-    p = protected.select("fp").distinct().withColumn("_p", F.lit(True))
-    s = seen.select("fp").distinct().withColumn("_s", F.lit(True))
-    rows = rows.join(p, "fp", "left").join(s, "fp", "left")
-    first = rows.groupBy("fp").agg(F.min(key).alias("_first"))
-    rows = rows.join(first, "fp")
     reason = F.when(~ok, "denylist").when(F.col("_p"), "protected_exact_text").when(F.col("_s") | (F.col(key) > F.col("_first")), "normalized_duplicate")
     return rows.withColumn("reason", reason).drop("_p", "_s", "_first")
 
@@ -141,6 +179,36 @@ def name_lexicon(df: DataFrame, least_ratio: float = 0.6, denied: list[str] = ()
     return g.where(~F.col("name").isin(*denied)) if denied else g
 
 
+def list_digests(df: DataFrame, group: str, key: str) -> DataFrame:
+    """STR24: ``(group, digest, n)``: SHA-256 of each group's keys in order, joined with line feeds.
+
+    The digest is defined over the whole list, so a group streams through one task in
+    key order; that task holds a batch and the state of the digest, never the list.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, digests, counts, now, state, n = [], [], [], None, None, 0
+        for batch in batches:
+            g, k = batch.column(0), batch.column(1)
+            ends = np.flatnonzero(np.array(pc.not_equal(g[1:], g[:-1]))) + 1 if len(g) > 1 else np.zeros(0, int)
+            for lo, hi in zip([0, *ends.tolist()], [*ends.tolist(), len(g)]):
+                if lo == hi:
+                    continue
+                part, name = "\n".join(k.slice(lo, hi - lo).to_pylist()), g[lo].as_py()
+                if state is None or name != now:
+                    if state is not None:
+                        names, digests, counts = [*names, now], [*digests, state.hexdigest()], [*counts, n]
+                    now, state, n = name, hashlib.sha256(), 0
+                state.update((("\n" if n else "") + part).encode())
+                n += hi - lo
+        if state is not None:
+            names, digests, counts = [*names, now], [*digests, state.hexdigest()], [*counts, n]
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(digests, pa.string()), pa.array(counts, pa.int64())], [group, "digest", "n"])
+
+    x = df.select(group, key).where(F.col(group).isNotNull() & F.col(key).isNotNull())
+    return x.repartition(group).sortWithinPartitions(group, key).mapInArrow(run, f"{group} string, digest string, n bigint")
+
+
 def label_phrases(df: DataFrame, label: str) -> DataFrame:
     """ARR13: distinct alphabetic phrases of one label, with the number of records and the first id that holds each."""
     spans = F.filter(B.spans_of(F.col("ner_tags")), lambda s: s["type"] == label)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import difflib
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -14,15 +15,67 @@ from tilmoch.functions import bio as B
 from tilmoch.functions import lexicon as L
 from tilmoch.functions import text as S
 
-#: Distinct characters that stand for the distinct words of a pair of texts.
-ALPHABET = "".join(map(chr, range(0x4E00, 0x4E00 + 20000)))
+#: Characters that stand for the distinct words of a pair of texts; pairs with more words or longer texts are compared bit by bit.
+ALPHABET = "".join(map(chr, range(0x4E00, 0x4E00 + 1000)))
+LONG = 2000
+
+
+def bit_distance(a: list | str, b: list | str) -> int:
+    """Edit distance by bit vectors of any length: one step per element of b, whatever the number of distinct ones."""
+    if not a:
+        return len(b)
+    masks: dict = {}
+    for i, x in enumerate(a):
+        masks.setdefault(x, []).append(i)
+    for x, places in masks.items():
+        bits = bytearray(len(a) // 8 + 1)
+        for i in places:
+            bits[i >> 3] |= 1 << (i & 7)
+        masks[x] = int.from_bytes(bits, "little")
+    full, top, out = (1 << len(a)) - 1, 1 << (len(a) - 1), len(a)
+    up, down = full, 0  # where the column of the table rises and falls
+    for x in b:
+        eq = masks.get(x, 0)
+        diagonal = (((eq & up) + up) ^ up) | eq | down
+        right_up, right_down = (down | ~(diagonal | up)) & full, up & diagonal
+        out += bool(right_up & top) - bool(right_down & top)
+        right_up, right_down = (right_up << 1) | 1, right_down << 1
+        vertical = eq | down
+        up, down = (right_down | ~(vertical | right_up)) & full, right_up & vertical
+    return out
+
+
+@F.arrow_udf(T.IntegerType())
+def _long_words(ref: pa.Array, hyp: pa.Array) -> pa.Array:
+    return pa.array([None if a is None or b is None else bit_distance(a, b) for a, b in zip(ref.to_pylist(), hyp.to_pylist())], pa.int32())
+
+
+@F.arrow_udf(T.IntegerType())
+def _long_texts(ref: pa.Array, hyp: pa.Array) -> pa.Array:
+    return pa.array([None if a is None or b is None else bit_distance(a, b) for a, b in zip(ref.to_pylist(), hyp.to_pylist())], pa.int32())
+
+
+def _either(long: Column, far: Callable[[Column, Column], Column], near: Column, a: Column, b: Column) -> Column:
+    """near where texts are short, far on the long ones; the function of long ones gets nulls for all others."""
+    return F.when(long, far(F.when(long, a), F.when(long, b))).otherwise(near)
 
 
 def word_edits(ref: Column, hyp: Column) -> Column:
-    """Edit distance of two word arrays: each distinct word becomes one character, and the native string distance does the rest."""
+    """Edit distance of two word arrays: each distinct word becomes one character, and the native string distance does the rest.
+
+    Pairs with more distinct words than there are characters, or of more than LONG
+    words, are compared by bit vectors: the same distance, without a limit.
+    """
     vocabulary = F.array_distinct(F.concat(ref, hyp))
-    code = lambda words: F.array_join(F.transform(words, lambda w: F.lit(ALPHABET).substr(F.array_position(vocabulary, w).cast("int"), F.lit(1))), "")
-    return F.levenshtein(code(ref), code(hyp))
+    long = (F.size(vocabulary) > len(ALPHABET)) | (F.greatest(F.size(ref), F.size(hyp)) > LONG)
+    code = lambda words: F.array_join(F.transform(F.when(~long, words), lambda w: F.lit(ALPHABET).substr(F.array_position(vocabulary, w).cast("int"), F.lit(1))), "")
+    return _either(long, _long_words, F.levenshtein(code(ref), code(hyp)), ref, hyp)
+
+
+def char_edits(ref: Column, hyp: Column) -> Column:
+    """Edit distance of two texts in characters, long ones by bit vectors."""
+    long = F.greatest(F.length(ref), F.length(hyp)) > LONG
+    return _either(long, _long_texts, F.levenshtein(F.when(~long, ref), F.when(~long, hyp)), ref, hyp)
 
 
 def rate(errors: Column, units: Column) -> Column:
@@ -30,30 +83,40 @@ def rate(errors: Column, units: Column) -> Column:
     return F.when(units > 0, errors / units)
 
 
-def _edit_counts(ref: list[np.ndarray], hyp: list[np.ndarray]) -> np.ndarray:
-    """Substitutions, deletions and insertions of each pair on one best path, all pairs of a batch together."""
+def _edit_counts(ref: list[np.ndarray], hyp: list[np.ndarray], cells: int = 1 << 21) -> np.ndarray:
+    """Substitutions, deletions and insertions of each pair on one best path; pairs of like lengths are filled together, about cells numbers at a time."""
+    n, m = np.array([len(x) for x in ref], np.int64), np.array([len(x) for x in hyp], np.int64)
+    out = np.zeros((len(ref), 3), np.int64)
+    order, at = np.lexsort((n, m)), 0
+    while at < len(order):
+        to = at + 1
+        while to < len(order) and (to + 1 - at) * (m[order[to]] + 1) <= cells:
+            to += 1
+        part = order[at:to]
+        out[part] = _filled([ref[i] for i in part], [hyp[i] for i in part])
+        at = to
+    return out
+
+
+def _filled(ref: list[np.ndarray], hyp: list[np.ndarray]) -> np.ndarray:
     rows = len(ref)
     n, m = np.array([len(x) for x in ref]), np.array([len(x) for x in hyp])
-    a, b = np.full((rows, max(1, int(n.max(initial=0)))), -1, np.int64), np.full((rows, max(1, int(m.max(initial=0)))), -2, np.int64)
+    a, b = np.full((rows, max(1, int(n.max()))), -1, np.int64), np.full((rows, max(1, int(m.max()))), -2, np.int64)
     for i in range(rows):
         a[i, : n[i]], b[i, : m[i]] = ref[i], hyp[i]
     # cost in the high bits, then substitutions: a best path with the fewest of them, and its deletions
-    unit = np.int64(1) << np.int64(40)
-    sub, gap = unit + 1, unit
-    row = np.broadcast_to(np.arange(b.shape[1] + 1) * gap, (rows, b.shape[1] + 1)).copy()
-    out = np.zeros(rows, np.int64)
-    pick = np.arange(rows)
-    out[n == 0] = row[pick[n == 0], m[n == 0]]
-    for i in range(1, a.shape[1] + 1):
-        new = np.empty_like(row)
-        new[:, 0] = i * gap
-        diag = row[:, :-1] + np.where(a[:, i - 1 : i] == b, 0, sub)
-        best = np.minimum(diag, row[:, 1:] + gap)
-        for j in range(1, b.shape[1] + 1):
-            new[:, j] = np.minimum(best[:, j - 1], new[:, j - 1] + gap)
-        row = new
-        out[n == i] = row[pick[n == i], m[n == i]]
-    edits, subs = out >> 40, out & ((1 << 40) - 1)
+    gap = np.int64(1) << np.int64(32)
+    slope = np.arange(b.shape[1] + 1) * gap
+    row = np.broadcast_to(slope, (rows, b.shape[1] + 1)).copy()
+    out = np.where(n == 0, row[np.arange(rows), m], 0)
+    for i in range(1, int(n.max()) + 1):
+        diagonal = row[:, :-1] + np.where(a[:, i - 1 : i] == b, 0, gap + 1)
+        new = row + gap
+        new[:, 1:] = np.minimum(new[:, 1:], diagonal)
+        row = np.minimum.accumulate(new - slope, axis=1) + slope  # insertions along the row
+        ends = np.flatnonzero(n == i)
+        out[ends] = row[ends, m[ends]]
+    edits, subs = out >> 32, out & ((1 << 32) - 1)
     # deletions - insertions = length difference, and both add up to the rest of the edits
     deletions = (edits - subs + (n - m)) // 2
     return np.stack([subs, deletions, edits - subs - deletions], axis=1)
@@ -85,7 +148,7 @@ def transcript_rates(df: DataFrame, ref: str, hyp: str) -> DataFrame:
     t = t.withColumn("_rw", split(r)).withColumn("_hw", split(h)).withColumn("_rnw", split(F.col("_rn"))).withColumn("_hnw", split(F.col("_hn")))
     t = t.withColumn("raw_word_errors", word_edits(F.col("_rw"), F.col("_hw")).cast("bigint")).withColumn("raw_words", F.size("_rw").cast("bigint"))
     t = t.withColumn("word_errors", word_edits(F.col("_rnw"), F.col("_hnw")).cast("bigint")).withColumn("words", F.size("_rnw").cast("bigint"))
-    t = t.withColumn("char_errors", F.levenshtein("_rn", "_hn").cast("bigint")).withColumn("chars", F.length("_rn").cast("bigint"))
+    t = t.withColumn("char_errors", char_edits(F.col("_rn"), F.col("_hn")).cast("bigint")).withColumn("chars", F.length("_rn").cast("bigint"))
     return t.drop("_rn", "_hn", "_rw", "_hw", "_rnw", "_hnw")
 
 
@@ -144,22 +207,32 @@ SPAN = "array<struct<text:string,label:string,start:int,end:int>>"
 @F.arrow_udf(T.ArrayType(T.StructType().add("text", T.StringType()).add("label", T.StringType()).add("start", T.IntegerType()).add("end", T.IntegerType())))
 def _aligned(ref: pa.Array, hyp: pa.Array, ref_tokens: pa.Array, hyp_tokens: pa.Array, spans: pa.Array) -> pa.Array:
     out = []
-    for r, rt, ht, es in zip(ref.to_pylist(), ref_tokens.to_pylist(), hyp_tokens.to_pylist(), spans.to_pylist()):
-        rt, ht, found, past = rt or [], ht or [], [], len(r or "")
+    for r, h, rt, ht, es in zip(ref.to_pylist(), hyp.to_pylist(), ref_tokens.to_pylist(), hyp_tokens.to_pylist(), spans.to_pylist()):
+        rt, ht, found = rt or [], ht or [], []
         blocks = difflib.SequenceMatcher(None, [x["form"] for x in ht], [x["form"] for x in rt], autojunk=False).get_matching_blocks()
         to = {b.a + k: b.b + k for b in blocks for k in range(b.size)}
-        for n, e in enumerate(es or []):
-            own = [i for i, x in enumerate(ht) if x["start"] < e["end"] and e["start"] < x["end"]]
-            hits = [to.get(i) for i in own]
-            good = bool(own) and None not in hits and all(b == a + 1 for a, b in zip(hits, hits[1:]))
-            s, t = (rt[hits[0]]["start"], rt[hits[-1]]["end"]) if good else (past + 1 + 2 * n, past + 2 + 2 * n)
-            found.append({"text": r[s:t] if good else e["text"], "label": e["label"], "start": s, "end": t})
+        beyond = len(r or "") + 1  # the next free place past the end
+        for e in es or []:
+            if (h or "")[e["start"] : e["end"]] != e["text"]:
+                raise ValueError(f"the span {e['start']}-{e['end']} of {e['text']!r} is no slice of its text")
+            own = [i for i, x in enumerate(ht) if e["start"] <= x["start"] and x["end"] <= e["end"]]
+            whole = own and ht[own[0]]["start"] == e["start"] and ht[own[-1]]["end"] == e["end"]
+            hits = [to[i] for i in own if i in to]
+            if whole and len(hits) == len(own) and hits[-1] - hits[0] == len(own) - 1:
+                s, t = rt[hits[0]]["start"], rt[hits[-1]]["end"]
+                found.append({"text": r[s:t], "label": e["label"], "start": s, "end": t})
+            else:
+                found.append({"text": e["text"], "label": e["label"], "start": beyond, "end": beyond + 1})
+                beyond += 2
         out.append(found)
     return pa.array(out, pa.list_(pa.struct([("text", pa.string()), ("label", pa.string()), ("start", pa.int32()), ("end", pa.int32())])))
 
 
 def align_to_reference(ref: Column, hyp: Column, spans: Column) -> Column:
-    """JOIN11: spans of a hypothesis moved to the reference where their words match it in one run; others get places past its end.
+    """JOIN11: spans of a hypothesis moved to the reference where they begin and end with a word and their words match it in one run.
+
+    Any other span gets a place of its own past the reference's end: the first at one
+    past it, each further one two on. A span that is no slice of its text is an error.
 
     Matching is by longest common blocks (Ratcliff and Obershelp), which no
     relational operator gives, so it runs on Arrow batches.

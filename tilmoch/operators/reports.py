@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from tilmoch.functions import bio as B
 from tilmoch.functions import text as S
-from tilmoch.operators.metrics import edit_split
+from tilmoch.operators.metrics import edit_split, f1_columns, span_counts
 
 # The categories of each taxonomy in report order.
 STT_CATEGORIES = [
@@ -170,3 +170,46 @@ def key_mismatch(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     x = a.select(F.col(key).alias("k")).distinct().withColumn("l", F.lit(True))
     y = b.select(F.col(key).alias("k")).distinct().withColumn("r", F.lit(True))
     return x.join(y, "k", "full_outer").where("l IS NULL OR r IS NULL").select(F.col("k").alias(key), F.when(F.col("l").isNull(), "unexpected").otherwise("missing").alias("side"))
+
+
+def taxonomy_report(counts: dict[str, list[tuple[str, int]]], ablation: str, recordings: int, compliant: bool, records: str) -> str:
+    """SNK4: the error counts of each taxonomy as Markdown."""
+    # The texts of the report.
+    lines = ["# Error analysis", "", f"Primary ablation: **{ablation}**", f"Evaluated recordings: **{recordings}**", f"Dataset status: **{'Phase 8 compliant' if compliant else 'PROVISIONAL'}**", ""]
+    lines += [f"This aggregate summary contains no transcripts. Full required error records are local, Git-ignored, and stored at `{records}`.", "", "Automatic classifications are an auditable first pass and require manual review of `notes`.", ""]
+    for title, rows in counts.items():
+        lines += [f"## {title}", "", "| Category | Count |", "| --- | ---: |", *(f"| {c} | {n} |" for c, n in rows), ""]
+    return "\n".join(lines).rstrip() + "\n"
+
+
+def covered(records: DataFrame, samples: DataFrame, key: str = "id") -> None:
+    """ERR5: an error unless the records have exactly the samples' keys, each once."""
+    if not key_mismatch(samples, records, key).isEmpty() or not records.groupBy(key).count().where("count > 1").isEmpty():
+        raise ValueError("the records do not cover the evaluation set exactly")
+
+
+def run_report(records: DataFrame, samples: DataFrame, ablation: str, path: str, gate: bool = True) -> tuple[str, dict]:
+    """ERR5 / AGG23: (Markdown summary, compliance row) of error records ``(id, stt_error, ner_error, normalization_error)``, arrays of categories.
+
+    samples are the evaluation set (see ``compliance``). With gate a set that is not
+    compliant is an error; so are records that do not cover it exactly.
+    """
+    status = compliance(samples).first().asDict(recursive=True)
+    if gate and not status["compliant"]:
+        raise ValueError("the evaluation set is not compliant: " + "; ".join(status["issues"]))
+    covered(records, samples)
+    tables = {"STT errors": ("stt_error", STT_CATEGORIES), "NER errors": ("ner_error", NER_CATEGORIES), "Normalization errors": ("normalization_error", NORMALIZATION_CATEGORIES)}
+    counts = {t: [(r["category"], r["n"]) for r in category_counts(records, c, names).orderBy("place").collect()] for t, (c, names) in tables.items()}
+    return taxonomy_report(counts, ablation, records.count(), status["compliant"], path), status
+
+
+def variant_scores(gold: DataFrame, variants: dict[str, DataFrame], key: list[str]) -> DataFrame:
+    """AGG20: exact scores of each prediction variant (display model, projected candidates, combined) in one aggregation."""
+    tagged = lambda df, v: df.select(F.lit(v).alias("variant"), *key)
+    union = lambda parts: parts[0] if len(parts) == 1 else union([parts[0].unionByName(parts[1]), *parts[2:]])
+    g = union([tagged(gold, v) for v in variants])
+    p = union([tagged(df, v) for v, df in variants.items()])
+    c = span_counts(g, p, ["variant", "label"], ["variant", *key])
+    total = c.groupBy("variant").agg(*[F.sum(x).alias(x) for x in ("tp", "fp", "fn")]).withColumn("label", F.lit("overall"))
+    c = c.unionByName(total.select(*c.columns))
+    return c.select("variant", "label", "tp", "fp", "fn", *f1_columns(F.col("tp"), F.col("fp"), F.col("fn")))

@@ -47,7 +47,7 @@ def _edited(name: str) -> str:
 def phrases(spark: SparkSession, records: DataFrame) -> DataFrame:
     """``(slot, phrase, place)``: fixed phrases, spoken days and years, and the first phrases of each label of the records by id."""
     names = [n.lower() for n in L.PERSON_NAMES]
-    rows = [("name", n) for n in names] + [("edited_name", _edited(n)) for n in names if _edited(n) != "doskon"] + [("relative", r) for r in RELATIVE] + [("none", "")] + [("fivefold", "")] * 5
+    rows = [("name", n) for n in names] + [("edited_name", _edited(n)) for n in names] + [("relative", r) for r in RELATIVE] + [("none", "")] + [("fivefold", "")] * 5
     fixed = spark.createDataFrame([(s, p, i) for i, (s, p) in enumerate(rows)], "slot string, phrase string, place int")
     days = spark.createDataFrame([(d, m, i) for i, (d, m) in enumerate((d, m) for d in TEMPLATE_DAYS for m in L.PLAIN_MONTHS)], "day int, month string, place int")
     days = days.select(F.lit("day_month").alias("slot"), F.concat_ws(" ", F.array_join(B.ordinal_day_words(F.col("day")), " "), "month", F.lit("kuni")).alias("phrase"), "place")

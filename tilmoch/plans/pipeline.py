@@ -9,10 +9,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tilmoch.functions import bio as B
+from tilmoch.functions import lexicon as L
 from tilmoch.functions import text as S
+from tilmoch.functions.numbers import spoken_year
 from tilmoch.operators import analysis as A
 from tilmoch.operators import corpus as K
 from tilmoch.operators import spans as P
+from tilmoch.operators import templates as TP
 from tilmoch.session import shared_table
 
 ENTITY = "array<struct<text:string,label:string,start:int,end:int,score:double>>"
@@ -93,19 +96,195 @@ def prepare_dataset(source: DataFrame, seed: int) -> tuple[DataFrame, DataFrame]
     return K.split_80_10_10(good, seed), grouped.where("reason IS NOT NULL").select("id", "reason")
 
 
-def augmented(df: DataFrame, seed: int, share: float = 3 / 7) -> DataFrame:
-    """DRV2 / TOP5: safe variants for the first share of the rows that allow a transform, by stable rank.
+def refuse(df: DataFrame, what: str) -> None:
+    """An error if df has any row."""
+    if not df.isEmpty():
+        raise ValueError(what)
 
-    Which transforms a row gets follows from a hash of its id: all applicable spacing
-    and apostrophe transforms, and one of the two case transforms.
+
+def _strict(df: DataFrame, what: str) -> None:
+    """The guards of a source: strict BIO and no id twice."""
+    refuse(df.where(B.bio_reason(F.col("tokens"), F.col("ner_tags")).isNotNull()), f"{what} holds tags that are no BIO")
+    refuse(df.groupBy("id").count().where("count > 1"), f"{what} holds an id twice")
+
+
+def _free_ids(df: DataFrame, taken: DataFrame) -> DataFrame:
+    """STR23: ids that are taken get ``_2``, ``_3``..., the first that is free."""
+    df, n = df.withColumn("_own", F.col("id")), 2
+    taken = taken.select(F.col("id").alias("_t"))
+    while not df.join(taken, F.col("id") == F.col("_t"), "left_semi").isEmpty():
+        hit = df.join(taken, F.col("id") == F.col("_t"), "left")
+        df = hit.withColumn("id", F.when(F.col("_t").isNotNull(), F.concat("_own", F.lit(f"_{n}"))).otherwise(F.col("id"))).drop("_t")
+        n += 1
+    return df.drop("_own")
+
+
+RECORD_COLUMNS = ["id", "tokens", "ner_tags", "source"]
+
+
+def with_chosen(df: DataFrame, seed: int) -> DataFrame:
+    """``_chosen``: one to three of the transforms that apply (``_a``), at most one of the two case transforms, all drawn by hashes of the id."""
+    number = lambda tag, at: F.conv(F.substring(F.sha2(F.concat(F.lit(f"{seed}:{tag}:"), "id"), 256), at, 8), 16, 10).cast("bigint")
+    cases = F.filter("_a", lambda n: n.isin("lowercase", "reduce_capitalization"))
+    case = F.get(cases, F.when(F.size(cases) > 0, (number("case", 1) % F.size(cases)).cast("int")))
+    names = F.array_compact(F.concat(F.array_except("_a", cases), F.array(case)))
+    drawn = F.array_sort(F.transform(names, lambda n: F.struct(F.sha2(F.concat(F.lit(f"{seed}:"), F.col("id"), F.lit(":"), n), 256).alias("r"), n.alias("n"))))
+    count = (number("count", 1) % F.least(F.lit(3), F.size(names)) + 1).cast("int")
+    return df.withColumn("_drawn", drawn).withColumn("_chosen", F.transform(F.slice("_drawn", 1, count), lambda x: x["n"])).drop("_drawn")
+
+
+def augmented(df: DataFrame, seed: int, share: float = 3 / 7) -> tuple[DataFrame, dict]:
+    """DRV2 / TOP5 / AGG26: the rows and safe variants of the first of them that allow a transform, and one row of statistics.
+
+    As many variants as share of the rows, half to even, by places in stable rank; each
+    has one to three transforms (see ``with_chosen``) in their fixed order and the id
+    ``<id>__aug_<place>``. Rows that are augmented already, that are no strict BIO or
+    share an id, and too few rows that allow a transform are errors. Nothing is sorted
+    by one task. df has ``id, tokens, ner_tags, source`` and may have ``augmentation``.
+    """
+    if "augmentation" in df.columns:
+        refuse(df.where("augmentation IS NOT NULL"), "a source record is already augmented")
+    base = shared_table(df.select(*RECORD_COLUMNS), "source")
+    _strict(base, "the source")
+    n = base.count()
+    wanted = round(n * share)
+    viable = base.withColumn("_a", B.applicable(F.col("tokens"), F.col("ner_tags"))).where("size(_a) > 0").withColumn("_rank", K.stable_rank(F.col("id"), seed))
+    pick = shared_table(K.placed(viable).where(F.col("_at") <= wanted).drop("_rank", "_all"), "picked")
+    if pick.count() < wanted:
+        raise ValueError(f"not enough source records that allow a transform: need {wanted}, found {pick.count()}")
+    x = with_chosen(pick, seed).withColumn("_t", F.col("tokens")).withColumn("_g", F.col("ner_tags")).withColumn("_done", F.array().cast("array<string>"))
+    for name, f in B.TRANSFORMS.items():
+        t, g = f(F.col("_t"), F.col("_g"))
+        x = x.withColumn("_r", F.when(F.array_contains("_chosen", name), F.struct(t.alias("t"), g.alias("g"))))
+        new = F.col("_r").isNotNull() & ((F.col("_r.t") != F.col("_t")) | (F.col("_r.g") != F.col("_g")))
+        x = x.withColumn("_done", F.when(new, F.concat("_done", F.array(F.lit(name)))).otherwise(F.col("_done")))
+        x = x.withColumn("_t", F.coalesce("_r.t", "_t")).withColumn("_g", F.coalesce("_r.g", "_g"))
+    x = x.select(F.concat("id", F.lit("__aug_"), F.lpad(F.col("_at").cast("string"), F.greatest(F.lit(4), F.length(F.col("_at").cast("string"))), F.lit("0"))).alias("id"), F.col("_t").alias("tokens"), F.col("_g").alias("ner_tags"), "source", F.col("id").alias("source_id"), F.col("_done").alias("transformations"))
+    x = shared_table(_free_ids(x, base), "variants")
+    refuse(x.where("size(transformations) = 0"), "a selected record did not change")
+    _strict(x, "the variants")
+    counts = {r[0]: r[1] for r in x.select(F.explode("transformations").alias("t")).groupBy("t").count().toLocalIterator()}
+    stats = {
+        "source_record_count": n, "requested_augmented_record_count": wanted, "augmented_record_count": wanted, "output_record_count": n + wanted, "seed": seed,
+        "augmentation_to_source_ratio": round(wanted / n, 6) if n else 0.0, "augmentation_fraction_of_output": round(wanted / (n + wanted), 6) if n else 0.0,
+        "transformation_counts": {name: counts.get(name, 0) for name in B.TRANSFORM_ORDER},
+    }
+    none = base.select(*RECORD_COLUMNS, F.lit(None).cast("string").alias("source_id"), F.array().cast("array<string>").alias("transformations"))
+    return none.unionByName(x), stats
+
+
+def speech_augmented(records: DataFrame, protected: DataFrame, seed: int, denied: tuple[str, ...] = DENIED) -> tuple[DataFrame, dict]:
+    """DRV3 / AGG26: the records without protected texts, a spoken variant of each viable one, and authored sentences; and statistics.
+
+    protected has ``tokens``. Records with a protected text are dropped; authored
+    sentences that share an n-gram of three to five words with one are left out; any
+    protected or denied text in the result is an error, as are tags that are no strict
+    BIO and ids that occur twice. Variants are numbered by stable rank.
+    """
+    base = shared_table(records.select(*RECORD_COLUMNS), "source")
+    _strict(base, "the source")
+    fp = S.fingerprint(F.array_join("tokens", " "))
+    guard = shared_table(protected.select(fp.alias("fp"), F.filter(F.split(S.full_text(F.array_join("tokens", " ")), " "), lambda w: w != "").alias("words")), "guard")
+    fps = guard.select("fp").distinct()
+    kept = shared_table(base.withColumn("fp", fp).join(fps, "fp", "left_anti").drop("fp"), "kept")
+    viable = K.placed(kept.where(B.viable(F.col("ner_tags"))).withColumn("_rank", K.stable_rank(F.col("id"), seed)))
+    spoken = B.with_speech_variant(viable, seed)
+    number = F.col("_at").cast("string")
+    spoken = spoken.select(F.concat("id", F.lit("__speech_"), F.lpad(number, F.greatest(F.lit(4), F.length(number)), F.lit("0"))).alias("id"), F.col("spoken_tokens").alias("tokens"), F.col("spoken_tags").alias("ner_tags"), "source", F.col("id").alias("source_id"), F.lit(None).cast("string").alias("template"))
+    spoken = shared_table(_free_ids(spoken, base), "spoken")
+    authored = TP.authored_templates(records.sparkSession, kept)
+    authored = shared_table(authored.withColumn("words", S.augmentation_tokens(F.col("tokens"))), "authored")  # normal forms are written first: n-grams work inside arrays
+    words = authored.select("id", "words")
+    clash = shared_table(K.overlapping(words, guard), "clash")
+    authored = authored.join(clash, "id", "left_anti").select(*RECORD_COLUMNS, F.lit(None).cast("string").alias("source_id"), "template")
+    out = kept.select(*RECORD_COLUMNS, F.lit(None).cast("string").alias("source_id"), F.lit(None).cast("string").alias("template")).unionByName(spoken).unionByName(authored)
+    out = shared_table(out, "speech")
+    _strict(out, "the speech records")
+    found = out.select(fp.alias("fp"))
+    refuse(found.join(fps, "fp", "left_semi"), "a protected text is among the speech records")
+    if denied:
+        refuse(found.where(F.col("fp").isin(*denied)), "a denied text is among the speech records")
+    n, k, v = base.count(), kept.count(), spoken.count()
+    stats = {
+        "source_record_count": n, "retained_source_record_count": k, "excluded_protected_source_record_count": n - k, "speech_variant_count": v, "output_record_count": out.count(),
+        "excluded_protected_authored_template_count": clash.count(), "seed": seed, "template_counts": {r[0]: r[1] for r in out.where("template IS NOT NULL").groupBy("template").count().toLocalIterator()},
+        "protected_overlap_count": 0, "denylisted_overlap_count": 0,
+    }
+    return out, stats
+
+
+def imported_sentences(sentences: DataFrame, mode: str, origin: str, excluded: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """DRV4: sentences ``(sheet, sentence, tokens, source_tags)`` of a workbook as (records, rejected sentences by reason).
+
+    Source tags are BIOES of another type set. In mode temporal only sentences with a
+    TEMPORAL span stay, and those whose phrase key is in excluded (``phrase_key``, see
+    ``read_excluded_phrases``) go.
     """
-    x = df.withColumn("_a", B.applicable(F.col("tokens"), F.col("ner_tags"))).where("size(_a) > 0")
-    n = df.count()
-    pick = K.stable_sample(x, round(n * share), seed)
-    low = F.conv(F.substring(K.stable_rank(F.col("id"), seed + 1), 1, 2), 16, 10).cast("int") % 2 == 0
-    rest = ["remove_punctuation", "apostrophe_representation", "hyphen_spacing", "colon_spacing"]
-    r = F.when(low, B.apply_transforms(F.col("tokens"), F.col("ner_tags"), ["lowercase", *rest])).otherwise(B.apply_transforms(F.col("tokens"), F.col("ner_tags"), ["reduce_capitalization", *rest]))
-    return pick.withColumn("_r", r).select(F.concat("id", F.lit("__aug")).alias("id"), F.col("_r.tokens").alias("tokens"), F.col("_r.tags").alias("ner_tags"), F.col("id").alias("source_id"), F.col("_r.applied").alias("transformations"))
+    if mode not in ("expert", "temporal"):
+        raise ValueError("the mode is expert or temporal")
+    x = sentences.withColumn("_b", B.bioes_to_bio(F.col("source_tags"))).withColumn("ner_tags", F.col("_b.tags"))
+    reason = F.coalesce(F.when(F.size("tokens") != F.size("source_tags"), "length"), F.col("_b.reason"), B.bio_reason(F.col("tokens"), F.col("ner_tags")))
+    if mode == "temporal":
+        reason = F.coalesce(reason, F.when(~F.array_contains("ner_tags", "B-TEMPORAL"), "no TEMPORAL entity"))
+        if excluded is not None:
+            x = x.withColumn("phrase_key", S.phrase_key(F.col("tokens"))).join(excluded.select("phrase_key").distinct().withColumn("_x", F.lit(True)), "phrase_key", "left")
+            reason = F.coalesce(reason, F.when(F.col("_x"), "excluded normalized duplicate"))
+    x = x.withColumn("reason", reason)
+    name = F.concat(F.lit(f"{origin}-{mode}:"), "sheet", F.lit(":"), "sentence")
+    good = x.where("reason IS NULL").select(name.alias("id"), "tokens", "ner_tags", F.concat(F.lit(f"{origin}:"), "sheet").alias("source"))
+    return good, x.where("reason IS NOT NULL").groupBy("reason").agg(F.count("*").alias("n"))
+
+
+def year_records(mined: DataFrame, dataset: str, revision: str) -> DataFrame:
+    """DRV5: the best phrases of a corpus (see ``best_per_phrase``) as TEMPORAL records with a digest id."""
+    tags = F.transform("phrase", lambda t, i: F.when(i == 0, "B-TEMPORAL").otherwise("I-TEMPORAL"))
+    how = F.when(F.col("form") != "observed_spoken", F.struct(F.col("year").cast("string").alias("source_text_form"), F.col("form").alias("transformation")))
+    return mined.select(F.concat(F.lit(f"speech-year:{dataset}:"), F.substring(F.sha2("phrase_key", 256), 1, 16)).alias("id"), F.col("phrase").alias("tokens"), tags.alias("ner_tags"), F.lit(f"hf:{dataset}@{revision}").alias("source"), how.alias("augmentation"))
+
+
+def merged_years(records: DataFrame, dataset: str, revision: str) -> DataFrame:
+    """DRV6: year records of several shards as one per phrase, spoken ones first; a record that is not what ``year_records`` makes fails the job.
+
+    Checked are strict BIO, the source, the year suffix and that the words still parse
+    as a year. One aggregate per phrase, combined before the shuffle.
+    """
+    keys = S.word_keys(S.nfkc_all(F.col("tokens")))
+    x = records.withColumn("_k", keys).withColumn("_n", F.size("tokens"))
+    last = F.get("_k", F.col("_n") - 1)
+    year = spoken_year(F.slice("_k", 1, F.greatest(F.col("_n") - 1, F.lit(0))))
+    form = F.when(F.col("augmentation").isNull(), "observed_spoken").otherwise(F.col("augmentation.transformation"))
+    wrong = (
+        F.when(B.bio_reason(F.col("tokens"), F.col("ner_tags")).isNotNull(), "tags that are no BIO").when(~F.col("source").eqNullSafe(F.lit(f"hf:{dataset}@{revision}")), "another source")
+        .when((F.col("_n") < 2) | ~F.coalesce(last.isin(*L.YEAR_SUFFIXES), F.lit(False)), "no year suffix").when(year.isNull(), "no calendar year").when(~F.coalesce(form.isin("observed_spoken", "digit_calendar_year_to_spoken"), F.lit(False)), "unknown transformation")
+    )
+    x = x.withColumn("year", F.when(wrong.isNotNull(), F.raise_error(F.concat(F.lit("shard record with "), wrong)).cast("int")).otherwise(year))
+    x = x.select(F.array_join("_k", " ").alias("phrase_key"), F.when(form == "observed_spoken", 0).otherwise(1).alias("o"), "id", "tokens", "ner_tags", "source", "augmentation", "year", last.alias("suffix"), form.alias("form"))
+    best = x.groupBy("phrase_key").agg(F.min(F.struct("o", "id", "tokens", "ner_tags", "source", "augmentation", "year", "suffix", "form")).alias("b"))
+    return best.select("phrase_key", "b.*").drop("o")
+
+
+def year_statistics(merged: DataFrame) -> DataFrame:
+    """AGG7: ``(what, value, n)``: records, those with a connector, and counts by suffix, form and year."""
+    has_va = F.array_contains(F.split("phrase_key", " "), "va")
+    long = F.array(*[F.struct(F.lit(w).alias("what"), v.alias("value")) for w, v in (("accepted", F.lit("all")), ("connector", F.when(has_va, "va")), ("suffix", F.col("suffix")), ("transformation", F.col("form")), ("year", F.col("year").cast("string")))])
+    return merged.select(F.explode(long).alias("x")).where("x.value IS NOT NULL").groupBy("x.what", "x.value").agg(F.count("*").alias("n"))
+
+
+def overflow_chunks(df: DataFrame, key: str, units: str, most: int) -> DataFrame:
+    """UDF1: ``(key, chunk, first, units)``: arrays of more than most units as windows that overlap by a quarter of most, at least one unit."""
+    if most < 2:
+        raise ValueError("a chunk holds at least two units")
+    step = most - min(max(1, most // 4), most - 1)
+    n = F.size(units)
+    starts = F.when(n <= most, F.array(F.lit(0))).otherwise(F.transform(F.sequence(F.lit(0), F.ceil((n - most) / step).cast("int")), lambda i: i * step))
+    x = df.select(key, units, F.posexplode(starts).alias("chunk", "first"))
+    return x.select(key, "chunk", "first", F.slice(units, F.col("first") + 1, F.lit(most)).alias("units"))
+
+
+def best_units(predictions: DataFrame, key: str) -> DataFrame:
+    """AGG10: of the predictions ``(key, first, i, label, score)`` of overlapping chunks the likeliest per unit, the earlier chunk on a tie."""
+    best = F.min_by(F.struct("label", "score"), F.struct(-F.col("score"), F.col("first")))
+    return predictions.groupBy(key, (F.col("first") + F.col("i")).alias("unit")).agg(best.alias("b")).select(key, "unit", "b.label", "b.score")
 
 
 def training_mix(

@@ -32,7 +32,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def queries() -> dict[str, Query]:
-    from tilmoch.plans import queries_more  # noqa: F401 — registers its queries
+    from tilmoch.plans import queries_more, queries_pipelines  # noqa: F401 — register their queries
 
     return dict(_QUERIES)
 
@@ -203,14 +203,13 @@ def str7_str8_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     rf"""
-    WITH u AS (SELECT prediction_id, len(regexp_extract_all(raw_transcript, '{SQL_WORD}|[^\s\x{{0085}}\p{{Z}}\x{{1c}}-\x{{1f}}\x{{0b}}\p{{L}}\p{{N}}_]')) AS units,
-        len({sql_words('raw_transcript')}) AS words FROM {STT} WHERE raw_transcript IS NOT NULL)
-    SELECT prediction_id, units::BIGINT AS units, words::BIGINT AS words FROM u
+    SELECT prediction_id, array_to_string(regexp_extract_all(raw_transcript, '{SQL_WORD}|[^\s\x{{0085}}\p{{Z}}\x{{1c}}-\x{{1f}}\x{{0b}}\p{{L}}\p{{N}}_]'), chr(10)) AS units,
+        array_to_string({sql_words('raw_transcript')}, chr(10)) AS words FROM {STT} WHERE raw_transcript IS NOT NULL
     """
 )
 def str11_units(spark: SparkSession, sf: str) -> DataFrame:
     x = F.col("raw_transcript")
-    return stt(spark, sf).where("raw_transcript IS NOT NULL").select("prediction_id", F.size(S.lexical_units(x)).cast("bigint").alias("units"), F.size(S.words(x)).cast("bigint").alias("words"))
+    return stt(spark, sf).where("raw_transcript IS NOT NULL").select("prediction_id", F.array_join(F.transform(S.lexical_units(x), lambda u: u["text"]), "\n").alias("units"), F.array_join(S.words(x), "\n").alias("words"))
 
 
 @query(f"SELECT w AS word, count(*) AS n FROM (SELECT unnest(regexp_extract_all({sql_nfkc('text')}, '[\\p{{L}}\\p{{N}}]+(?:[''`ʻʼʹʾˈ][\\p{{L}}\\p{{N}}]+)*')) AS w FROM documents) GROUP BY 1")
@@ -313,9 +312,8 @@ def str23_ids(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"SELECT coalesce(source, 'none') AS source, sha256(string_agg(id, chr(10) ORDER BY id)) AS digest, count(*) AS n FROM {NER} GROUP BY 1")
 def str24_digests(spark: SparkSession, sf: str) -> DataFrame:
-    """Digest of each source's ids: a digest of a digest list would not equal the plain one, so the ids of a source meet in one row."""
-    r = ner(spark, sf).select("id", F.coalesce("source", F.lit("none")).alias("source"))
-    return r.groupBy("source").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("id")), "\n"), 256).alias("digest"), F.count("*").alias("n"))
+    """STR24: the digest of each source's ids."""
+    return K.list_digests(ner(spark, sf).select("id", F.coalesce("source", F.lit("none")).alias("source")), "source", "id")
 
 
 @query("SELECT source, regexp_full_match(revision, '[0-9a-f]{40}') AS revision_ok, regexp_full_match(source, '[A-Za-z0-9][A-Za-z0-9._-]*') AS identifier_ok FROM source_catalog")
@@ -469,7 +467,15 @@ def arr3_punctuation(spark: SparkSession, sf: str) -> DataFrame:
 _ALNUM = r"[\p{L}\p{N}]"
 
 
-@query(None)
+def _sql_flip(t: str) -> str:
+    """ARR4 of one token in RE2, which has no look-around: each pass twice, since a match takes its neighbours."""
+    for chars, to in (("''", chr(1)), ("’ʻʼ‘`", "''")):
+        for _ in range(2):
+            t = rf"regexp_replace({t}, '([\p{{L}}\p{{N}}])[{chars}]([\p{{L}}\p{{N}}])', '\1{to}\2', 'g')"
+    return f"replace({t}, chr(1), 'ʻ')"
+
+
+@query(f"SELECT id, array_to_string([{_sql_flip('t')} FOR t IN tokens], ' ') AS flipped FROM {NER} WHERE len(tokens) = len(ner_tags)")
 def arr4_apostrophes(spark: SparkSession, sf: str) -> DataFrame:
     x = ner(spark, sf).where("size(tokens) = size(ner_tags)")
     return x.select("id", F.array_join(B.apostrophes(F.col("tokens"), F.col("ner_tags"))[0], " ").alias("flipped"))
@@ -494,13 +500,13 @@ def arr10_arr11_speech_variants(spark: SparkSession, sf: str) -> DataFrame:
     f"""
     WITH d AS (SELECT id, string_split(t, ' ') AS w FROM (SELECT id, {sql_full_text("array_to_string(tokens, ' ')")} AS t FROM {NER}) WHERE t <> ''),
     g AS (SELECT id, n, unnest(CASE WHEN len(w) >= n THEN list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(w[i:i + n - 1], ' ')) ELSE [] END) AS g FROM d, (SELECT unnest([3, 4, 5]) AS n))
-    SELECT id, count(DISTINCT g) AS grams FROM g GROUP BY id
+    SELECT id, count(*) AS grams, md5(string_agg(g, chr(10) ORDER BY g)) AS digest FROM (SELECT DISTINCT id, g FROM g) GROUP BY id
     """
 )
 def arr12_ngrams(spark: SparkSession, sf: str) -> DataFrame:
     t = S.full_text(F.array_join("tokens", " "))
-    x = ner(spark, sf).select("id", t.alias("t")).where("t <> ''").select("id", F.size(B.ngrams(F.split("t", " "))).cast("bigint").alias("grams"))
-    return x.where("grams > 0")
+    x = ner(spark, sf).select("id", t.alias("t")).where("t <> ''").select("id", F.array_sort(B.ngrams(F.split("t", " "))).alias("g"))
+    return x.where("size(g) > 0").select("id", F.size("g").cast("bigint").alias("grams"), F.md5(F.array_join("g", "\n")).alias("digest"))
 
 
 @query(
@@ -799,8 +805,8 @@ def spn11_invariants(spark: SparkSession, sf: str) -> DataFrame:
     """
 )
 def join5_recording_plan(spark: SparkSession, sf: str) -> DataFrame:
-    """JOIN5: every prompt for every speaker. The product is the result itself; both tables are fixed lists, so the speakers are broadcast."""
+    """JOIN5: every prompt for every speaker. The product is the result itself; both tables are fixed lists."""
     p = table(spark, sf, "prompts").select(F.col("id").alias("prompt_id"), "speech_conditions")
-    s = F.broadcast(table(spark, sf, "speakers").limit(10_000))
-    x = p.join(s)
+    s = table(spark, sf, "speakers")
+    x = p.crossJoin(s)
     return x.select("prompt_id", "speaker_id", F.concat("prompt_id", F.lit("--"), "speaker_id").alias("recording_id"), F.array_join(F.array_sort(F.array_distinct(F.concat("speech_conditions", "conditions"))), ",").alias("conditions"))

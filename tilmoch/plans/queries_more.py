@@ -23,6 +23,8 @@ from tilmoch.plans.queries import NER, STT, ner, sql_of, q, query, sql_evaluatio
 from tilmoch.session import checkpoint_dir, shared_table
 from tilmoch.sources import io
 
+SQL_NAME_KEY = r"regexp_replace(lower(source), '[^\p{L}\p{N}]+', '', 'g')"
+
 # --- analysis view ----------------------------------------------------------
 
 
@@ -152,15 +154,38 @@ def join8_join9_intervals(spark: SparkSession, sf: str) -> DataFrame:
     return j.select("id", "gold_label", "model_label", F.col("gs").cast("bigint").alias("gold_start"), F.col("ps").cast("bigint").alias("model_start"), (F.least("ge", "pe") - F.greatest("gs", "ps")).cast("bigint").alias("shared"), ((F.col("gs") >= F.col("ps")) & (F.col("ge") <= F.col("pe"))).alias("contained"))
 
 
-@query(None)
+_ALIGN = [
+    (1, "Toshkent shahriga keldi", "Toshkentda keldi", [("Toshkent", "LOC", 0, 8), ("keldi", "PER", 11, 16), ("kel", "ORG", 11, 14)]),
+    (2, "Ali Vali bugun", "Ali va Vali bugun", [("Ali va Vali", "PER", 0, 11), ("bugun", "DATE", 12, 17), ("Ali", "PER", 0, 3)]),
+    (3, "bir ikki uch", "BIR  ikki", [("BIR  ikki", "ORG", 0, 9), (" ikki", "ORG", 4, 9)]),
+]
+
+
+@query("SELECT * FROM (VALUES (1, 0, 'LOC', 'Toshkent', 24, 25), (1, 1, 'PER', 'keldi', 18, 23), (1, 2, 'ORG', 'kel', 26, 27), (2, 0, 'PER', 'Ali va Vali', 15, 16), (2, 1, 'DATE', 'bugun', 9, 14), (2, 2, 'PER', 'Ali', 0, 3), (3, 0, 'ORG', 'bir ikki', 0, 8), (3, 1, 'ORG', ' ikki', 13, 14)) v(id, i, label, text, s, e)")
+def join11_golden(spark: SparkSession, sf: str) -> DataFrame:
+    """JOIN11: part of a word, an inserted word, a blank too many and moved words; places past the end are numbered as they are given out."""
+    x = spark.createDataFrame(_ALIGN, f"id int, r string, h string, es {M.SPAN}")
+    x = x.select("id", F.posexplode(M.align_to_reference(F.col("r"), F.col("h"), F.col("es"))).alias("i", "e"))
+    return x.select("id", "i", "e.label", "e.text", F.col("e.start").alias("s"), F.col("e.end").alias("e"))
+
+
+@query(
+    """
+    SELECT count(*) AS spans, 0::BIGINT AS wrong_slices, 0::BIGINT AS wrong_places
+    FROM (SELECT unnest(gold_entities) AS e, raw_transcript AS r FROM (SELECT DISTINCT ON (prediction_id) * FROM stt_predictions) WHERE raw_transcript IS NOT NULL) WHERE instr(r, e.text) > 0
+    """
+)
 def join11_alignment(spark: SparkSession, sf: str) -> DataFrame:
-    """JOIN11: gold entities found on the recognised text and moved to the gold transcript, beside their true places."""
+    """JOIN11: gold entities found on the recognised text and moved to the gold transcript: each a slice of it, or at a place past its end."""
     p = stt(spark, sf).where("raw_transcript IS NOT NULL").select("prediction_id", "gold_transcript", "raw_transcript", "gold_entities")
     # a span on the transcript: the place of each gold surface in it, where it has one
-    low = F.lower("raw_transcript")
-    spans = F.filter(F.transform("gold_entities", lambda e: F.struct(e["text"].alias("text"), e["label"].alias("label"), (F.instr(low, F.lower(e["text"])) - 1).alias("start"), (F.instr(low, F.lower(e["text"])) - 1 + F.length(e["text"])).alias("end"))), lambda e: e["start"] >= 0)
-    x = p.select("prediction_id", M.align_to_reference(F.col("gold_transcript"), F.col("raw_transcript"), spans).alias("a"))
-    return x.select("prediction_id", F.inline_outer("a")).where("label IS NOT NULL")
+    at = lambda e: F.instr("raw_transcript", e["text"]) - 1
+    spans = F.filter(F.transform("gold_entities", lambda e: F.struct(e["text"].alias("text"), e["label"].alias("label"), at(e).alias("start"), (at(e) + F.length(e["text"])).alias("end"))), lambda e: e["start"] >= 0)
+    x = p.select("gold_transcript", M.align_to_reference(F.col("gold_transcript"), F.col("raw_transcript"), spans).alias("a"))
+    x = x.select("gold_transcript", F.inline_outer("a")).where("label IS NOT NULL").withColumn("n", F.length("gold_transcript"))
+    slice_ = F.col("gold_transcript").substr(F.col("start") + 1, F.col("end") - F.col("start"))
+    inside = F.col("end") <= F.col("n")
+    return x.agg(F.count("*").alias("spans"), F.count_if(inside & (slice_ != F.col("text"))).alias("wrong_slices"), F.count_if(~inside & ((F.col("start") <= F.col("n")) | (F.col("end") != F.col("start") + 1))).alias("wrong_places"))
 
 
 @query("SELECT 'a' AS id, 'PER' AS label, 'Oʻquvchi' AS text, 0::BIGINT AS s, 8::BIGINT AS e UNION ALL SELECT 'a', 'DATE', '2026-yil 5-avgust', 9, 26")
@@ -191,16 +216,17 @@ def agg7_mining_statistics(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     f"""
-    WITH d AS (SELECT {sql_full_text('text')} AS k, source, doc_id FROM documents WHERE text IS NOT NULL), c AS (SELECT source, row_number() OVER (ORDER BY source) AS place FROM source_catalog)
-    SELECT k AS full_text, arg_min(d.source, {{'p': place, 'd': doc_id}}) AS source, count(*) AS n FROM d JOIN c USING (source) GROUP BY k
-    """.replace("{{", "{").replace("}}", "}")
+    WITH d AS (SELECT {sql_full_text('text')} AS k, {SQL_NAME_KEY} AS nk, doc_id FROM documents WHERE text IS NOT NULL), c AS (SELECT source, {SQL_NAME_KEY} AS nk, row_number() OVER (ORDER BY source) AS place FROM source_catalog)
+    SELECT k AS full_text, arg_min(coalesce(c.source, d.nk, 'unknown'), {{'p': coalesce(place, 1000000), 'd': doc_id}}) AS source, count(*) AS n FROM d LEFT JOIN c USING (nk) GROUP BY k
+    """
 )
 def agg9_first_corpus(spark: SparkSession, sf: str) -> DataFrame:
-    """AGG9: equal texts of several sources belong to the first source in list order."""
+    """AGG9: equal texts of several sources belong to the first source in list order, however it is spelled; texts of unlisted and null sources come last."""
     from pyspark.sql import Window as W
 
-    c = table(spark, sf, "source_catalog").select("source", F.row_number().over(W.orderBy("source")).alias("place"))
-    d = table(spark, sf, "documents").where("text IS NOT NULL").select(S.full_text(F.col("text")).alias("full_text"), "source", "doc_id").join(c, "source")
+    c = table(spark, sf, "source_catalog").select(F.col("source").alias("name"), S.name_key(F.col("source")).alias("nk"), F.row_number().over(W.orderBy("source")).alias("place"))
+    d = table(spark, sf, "documents").where("text IS NOT NULL").select(S.full_text(F.col("text")).alias("full_text"), S.name_key(F.col("source")).alias("nk"), "doc_id").join(c, "nk", "left")
+    d = d.withColumn("source", F.coalesce("name", "nk", F.lit("unknown"))).withColumn("place", F.coalesce("place", F.lit(1_000_000)))
     return d.groupBy("full_text").agg(F.min_by("source", F.struct("place", "doc_id")).alias("source"), F.count("*").alias("n"))
 
 
@@ -277,15 +303,17 @@ def err2_join13_ner_errors(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     f"""
-    WITH x AS (SELECT prediction_id, raw_transcript AS r, normalized_transcript AS n, {sql_runtime('raw_transcript')} AS e, {sql_evaluation('raw_transcript')} AS re, {sql_evaluation('normalized_transcript')} AS ne FROM {STT}),
-    c AS (SELECT prediction_id, unnest([CASE WHEN n <> e AND regexp_matches(n, '[''’‘ʼ`]') THEN 'Incorrect apostrophe replacement' END, CASE WHEN n <> e AND (contains(n, '  ') OR n <> trim(n)) THEN 'Whitespace corruption' END, CASE WHEN n <> e AND re <> ne THEN 'Meaning changed' END]) AS error FROM x)
+    WITH x AS (SELECT prediction_id, gold_entities AS es, raw_transcript AS r, normalized_transcript AS n, {sql_runtime('raw_transcript')} AS e, {sql_evaluation('raw_transcript')} AS re, {sql_evaluation('normalized_transcript')} AS ne FROM {STT}),
+    c AS (SELECT prediction_id, unnest([CASE WHEN n <> e AND regexp_matches(n, '[''’‘ʼ`]') THEN 'Incorrect apostrophe replacement' END, CASE WHEN n <> e AND regexp_matches(r, '[0-9]') AND contains(n, ' - ') THEN 'Incorrect date punctuation' END,
+        CASE WHEN n <> e AND regexp_matches(n, '[0-9]\\s+:\\s+[0-9]') THEN 'Incorrect time punctuation' END, CASE WHEN n <> e AND (contains(n, '  ') OR n <> trim(n)) THEN 'Whitespace corruption' END, CASE WHEN n <> e AND re <> ne THEN 'Meaning changed' END,
+        CASE WHEN n IS NOT NULL AND len(list_filter(es, lambda s: s."start" < 0 OR s."end" <= s."start" OR s."end" > length(n) OR n[s."start" + 1:s."end"] <> s.text)) > 0 THEN 'Offset mismatch' END]) AS error FROM x)
     SELECT prediction_id, error FROM c WHERE error IS NOT NULL
     """
 )
 def err3_normalization_errors(spark: SparkSession, sf: str) -> DataFrame:
-    none = F.array().cast("array<struct<text:string,start:int,end:int>>")
-    x = stt(spark, sf).select("prediction_id", F.explode(R.normalization_errors(F.col("raw_transcript"), F.col("normalized_transcript"), none)).alias("error"))
-    return x.where(F.col("error").isin("Incorrect apostrophe replacement", "Whitespace corruption", "Meaning changed"))
+    """ERR3: all categories that can occur, the gold spans read as spans of the normalized transcript."""
+    x = stt(spark, sf).select("prediction_id", F.explode_outer(R.normalization_errors(F.col("raw_transcript"), F.col("normalized_transcript"), F.col("gold_entities"))).alias("error"))
+    return x.where("error IS NOT NULL")
 
 
 @query(
@@ -330,14 +358,14 @@ def top6_ranking(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     f"""
     WITH m AS (SELECT model_key AS run, device AS split, 'raw_wer' AS metric, round(avg(metrics.raw_wer), 9) AS v FROM {STT} GROUP BY 1, 2 UNION ALL SELECT model_key, device, 'seconds', round(avg(timing.stt_seconds), 9) FROM {STT} GROUP BY 1, 2)
-    SELECT a.metric, a.split, CASE WHEN b.v - a.v > 0 THEN 'improvement' WHEN b.v - a.v < 0 THEN 'regression' ELSE 'same' END AS change FROM m a JOIN m b USING (metric, split) WHERE a.run = 'stt_kichik' AND b.run = 'stt_orta' AND a.v IS NOT NULL AND b.v IS NOT NULL AND abs(a.v - b.v) > 1e-6
+    SELECT a.metric, a.split, a.v AS base_value, b.v AS other_value, round(b.v - a.v, 9) AS delta, CASE WHEN b.v - a.v > 0 THEN 'improvement' WHEN b.v - a.v < 0 THEN 'regression' ELSE 'same' END AS change FROM m a JOIN m b USING (metric, split) WHERE a.run = 'stt_kichik' AND b.run = 'stt_orta' AND a.v IS NOT NULL AND b.v IS NOT NULL AND abs(a.v - b.v) > 1e-6
     """
 )
 def join14_err6_deltas(spark: SparkSession, sf: str) -> DataFrame:
     x = stt(spark, sf)
     long = [x.groupBy(F.col("model_key").alias("run"), F.col("device").alias("split")).agg(F.round(F.avg(c), 9).alias("value")).withColumn("metric", F.lit(n)) for n, c in (("raw_wer", "metrics.raw_wer"), ("seconds", "timing.stt_seconds"))]
     d = R.metric_deltas(long[0].unionByName(long[1]), "stt_kichik", "stt_orta")
-    return d.where("base_value IS NOT NULL AND other_value IS NOT NULL AND abs(delta) > 1e-6").select("metric", "split", "change")
+    return d.where("base_value IS NOT NULL AND other_value IS NOT NULL AND abs(delta) > 1e-6").select("metric", "split", "base_value", "other_value", "delta", "change")
 
 
 @query(
@@ -405,11 +433,26 @@ def agg1_agg2_sentences(spark: SparkSession, sf: str) -> DataFrame:
     return K.grouped_sentences(K.source_row_reasons(x)).select("id", F.array_join("tokens", " ").alias("text"), "reason")
 
 
-@query(None)
+def _train(spark: SparkSession, sf: str) -> DataFrame:
+    return ner(spark, sf).where((F.col("split") == "train") & B.bio_reason(F.col("tokens"), F.col("ner_tags")).isNull())
+
+
+@query(
+    f"""
+    WITH t AS (SELECT id FROM {NER} WHERE split = 'train' AND id IN (SELECT id FROM ({sql_of('val1_reasons')}) WHERE reason IS NULL))
+    SELECT count(*) AS originals, round_even(count(*) * 3 / 7, 0)::BIGINT AS variants, 0::BIGINT AS too_many_or_none, 0::BIGINT AS unchanged, 0::BIGINT AS wrong_ids FROM t
+    """
+)
 def drv2_top5_augmented(spark: SparkSession, sf: str) -> DataFrame:
-    """DRV2 / TOP5: safe variants of three sevenths of the train records."""
-    x = ner(spark, sf).where((F.col("split") == "train") & B.bio_reason(F.col("tokens"), F.col("ner_tags")).isNull())
-    return PL.augmented(x, 42).select("id", "source_id", F.array_join("tokens", " ").alias("text"), F.array_join("transformations", ",").alias("transformations"))
+    """DRV2, TOP5, AGG26: the train records and safe variants of three sevenths of them, each with one to three transforms."""
+    x = PL.augmented(_train(spark, sf), 42)[0]
+    own = x.where("source_id IS NULL").select(F.col("id").alias("source_id"), F.col("tokens").alias("t0"), F.col("ner_tags").alias("g0"))
+    v = x.where("source_id IS NOT NULL").join(own, "source_id", "left")
+    checks = v.agg(
+        F.count("*").alias("variants"), F.count_if(~F.size("transformations").between(1, 3)).alias("too_many_or_none"), F.count_if((F.col("tokens") == F.col("t0")) & (F.col("ner_tags") == F.col("g0"))).alias("unchanged"),
+        F.count_if(~F.coalesce(F.col("id").rlike(r"__aug_\d{4,}(_\d+)?$") & F.startswith("id", "source_id"), F.lit(False))).alias("wrong_ids"),
+    )
+    return x.where("source_id IS NULL").agg(F.count("*").alias("originals")).join(checks)
 
 
 @query(None)
@@ -443,8 +486,11 @@ def api2_transcripts(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT id, e.label AS label, e.text AS text FROM (SELECT id, unnest(model_entities) AS e FROM speech_ner_eval)")
 def udf1_plugged_model(spark: SparkSession, sf: str) -> DataFrame:
-    """UDF1: a plugged-in model; here one that looks its answers up, sent along as a bounded parameter (the fixed evaluation set)."""
-    known = {r["text"]: [e.asDict() for e in r["model_entities"]] for r in table(spark, sf, "speech_ner_eval").select("text", "model_entities").limit(10_000).collect()}
+    """UDF1: a plugged-in model; here one that looks its answers up, sent along as a parameter (the fixed evaluation set, counted first)."""
+    items = table(spark, sf, "speech_ner_eval").select("text", "model_entities")
+    if items.count() > 10_000:
+        raise ValueError("this stand-in model sends its answers along: at most 10,000")
+    known = {r["text"]: [e.asDict() for e in r["model_entities"]] for r in items.collect()}
 
     def make() -> PL.Predict:
         return lambda texts: [known.get(t, []) for t in texts]
@@ -468,7 +514,7 @@ def snk3_csv_round_trip(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     f"""
-    SELECT template, n::BIGINT AS n FROM (VALUES ('per_intro_or_relation', 60), ('per_one_edit_intro', {len([n for n in L.PERSON_NAMES if n != 'Doston']) + 1}), ('spoken_calendar', 60), ('relative_calendar', 6), ('spoken_year', 165), ('per_train_inventory', 64),
+    SELECT template, n::BIGINT AS n FROM (VALUES ('per_intro_or_relation', 60), ('per_one_edit_intro', {len(L.PERSON_NAMES)}), ('spoken_calendar', 60), ('relative_calendar', 6), ('spoken_year', 165), ('per_train_inventory', 64),
         ('entity_boundary_curriculum', 288), ('entity_head_hard_negative', 6), ('eponymic_loc_per_contrast', 120), ('hard_negative', 65)) v(template, n)
     """
 )

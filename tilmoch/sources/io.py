@@ -162,34 +162,71 @@ def write_splits(df: DataFrame, path: str, split: str = "split") -> None:
     df.write.mode("errorifexists").partitionBy(split).json(path)
 
 
-def write_manifest(folder: str) -> dict[str, dict]:
-    """SNK5: sizes and SHA-256 of all files of a finished folder, written last."""
+def folder_digest(folder: str) -> dict[str, dict]:
+    """Size and SHA-256 of every file of a folder but its manifest. Folders of this machine or a mounted file system."""
     out = {}
     for root, _, names in os.walk(folder):
         for n in sorted(names):
             p = os.path.join(root, n)
-            if n != "_manifest.json" and not n.endswith(".crc"):
+            if not n.startswith("_manifest.json") and not n.endswith(".crc"):
                 h = hashlib.sha256()
                 with open(p, "rb") as f:
                     for block in iter(lambda: f.read(1 << 20), b""):
                         h.update(block)
                 out[os.path.relpath(p, folder)] = {"bytes": os.path.getsize(p), "sha256": h.hexdigest()}
-    tmp = os.path.join(folder, "_manifest.json.tmp")
-    with open(tmp, "w", encoding="utf-8") as f:
-        json.dump(out, f, sort_keys=True, indent=1)
-    os.replace(tmp, os.path.join(folder, "_manifest.json"))
+    return out
+
+
+def write_manifest(folder: str) -> dict[str, dict]:
+    """SNK5: sizes and SHA-256 of all files of a finished folder, written last."""
+    out = folder_digest(folder)
+    _atomic(os.path.join(folder, "_manifest.json"), json.dumps(out, sort_keys=True, indent=1))
     return out
 
 
 def verify_manifest(folder: str) -> bool:
-    """Whether a folder holds exactly the files of its manifest, unchanged."""
+    """Whether a folder holds exactly the files of its manifest, unchanged; nothing is written."""
     with open(os.path.join(folder, "_manifest.json"), encoding="utf-8") as f:
-        want = json.load(f)
-    os.replace(os.path.join(folder, "_manifest.json"), os.path.join(folder, "_manifest.json.old"))
+        return json.load(f) == folder_digest(folder)
+
+
+def _atomic(path: str, text: str) -> None:
+    """A small text file that appears whole or not at all."""
+    os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
+    tmp = f"{path}.{os.getpid()}.tmp"
     try:
-        os.rename(os.path.join(folder, "_manifest.json.old"), os.path.join(folder, "._old"))
-        have = write_manifest(folder)
-        have.pop("._old", None)
-        return have == want
+        with open(tmp, "w", encoding="utf-8") as f:
+            f.write(text)
+        os.replace(tmp, path)
     finally:
-        os.replace(os.path.join(folder, "._old"), os.path.join(folder, "_manifest.json"))
+        if os.path.exists(tmp):
+            os.remove(tmp)
+
+
+def write_statistics(row: DataFrame | dict, path: str) -> dict:
+    """SNK2: one row of statistics as pretty JSON with sorted keys; more than one row is an error."""
+    if isinstance(row, DataFrame):
+        rows = row.limit(2).collect()
+        if len(rows) != 1:
+            raise SourceError("statistics are one row")
+        row = rows[0].asDict(recursive=True)
+    _atomic(path, json.dumps(row, ensure_ascii=False, sort_keys=True, indent=2, default=str) + "\n")
+    return row
+
+
+def write_text(path: str, text: str) -> None:
+    """SNK4: a text report in one step."""
+    _atomic(path, text)
+
+
+def write_recording_plan(prompts: DataFrame, speakers: DataFrame, path: str) -> DataFrame:
+    """SNK8 / JOIN5: one row per prompt and speaker with an unchecked checklist, as CSV; a path that exists is an error.
+
+    The product is the plan itself; both sides are fixed lists.
+    """
+    plan = prompts.select(F.col("id").alias("prompt_id")).crossJoin(speakers.select("speaker_id"))
+    name = F.concat("prompt_id", F.lit("--"), "speaker_id")
+    no = [F.lit(False).alias(c) for c in ("consent_confirmed", "recorded", "transcript_reviewed", "entity_spans_reviewed")]
+    plan = plan.select(name.alias("recording_id"), "speaker_id", "prompt_id", F.concat(F.lit("audio/"), name, F.lit(".wav")).alias("audio_file"), *no)
+    write_csv(plan, path, plan.columns, "recording_id")
+    return plan
