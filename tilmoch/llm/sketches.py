@@ -17,16 +17,32 @@ from pyspark.sql import functions as F
 from tilmoch.llm.codepoints import mix64
 
 #: Cells of one row of the count table, and its rows; a word's count is the least of its cells.
-CELLS, ROWS = 1 << 20, 2
+CELLS, ROWS = 1 << 18, 2
 #: 64-bit words of a Bloom filter (8 MB), and bits per entry.
 BLOOM_WORDS, BLOOM_BITS = 1 << 20, 4
 _STEPS = 8
+_PART = 1 << 15
+
+
+def _packed(cells: DataFrame, size: int, kind: type) -> np.ndarray:
+    """``(cell, v)`` rows as one array of the given size: packed by ranges of cells first, so what reaches the driver is of one size whatever the data."""
+
+    def pack(t: pa.Table) -> pa.Table:
+        at = t["cell"].to_numpy()
+        out = np.zeros(_PART, kind)
+        out[at % _PART] = t["v"].to_numpy().astype(np.int64).view(np.uint64).astype(kind)
+        return pa.table({"part": pa.array([int(at[0]) // _PART], pa.int32()), "bytes": pa.array([out.tobytes()], pa.binary())})
+
+    out = np.zeros(size, kind)
+    for r in cells.groupBy(F.shiftright("cell", 15).alias("_p")).applyInArrow(pack, "part int, bytes binary").toArrow().to_pylist():
+        out[r["part"] * _PART : (r["part"] + 1) * _PART] = np.frombuffer(r["bytes"], kind)
+    return out
 
 
 def _cells(words: np.ndarray) -> np.ndarray:
     """ROWS x words: the cell of each word in each row of the count table."""
     w = np.ascontiguousarray(words, np.int32).view(np.uint32).astype(np.uint64)
-    return np.stack([(mix64(w + np.uint64((r + 1) << 40)) >> np.uint64(44)).astype(np.int64) + r * CELLS for r in range(ROWS)])
+    return np.stack([(mix64(w + np.uint64((r + 1) << 40)) >> np.uint64(46)).astype(np.int64) + r * CELLS for r in range(ROWS)])
 
 
 def count_codes(df: DataFrame, words: str) -> np.ndarray:
@@ -45,10 +61,8 @@ def count_codes(df: DataFrame, words: str) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(total[part])], ["cell", "n"])
 
     counts = df.select(words).where(F.col(words).isNotNull()).mapInArrow(count, "cell int, n bigint").groupBy("cell").agg(F.sum("n").alias("n"))
-    t = counts.select("cell", F.least(F.lit(255), F.floor(F.lit(float(_STEPS)) * F.log2("n"))).cast("smallint").alias("c")).toArrow()
-    out = np.zeros(ROWS * CELLS, np.uint8)
-    out[t["cell"].to_numpy()] = t["c"].to_numpy() + (t["c"].to_numpy() < 255)  # 0 is left to words that never occur
-    return out
+    code = F.least(F.lit(255), F.floor(F.lit(float(_STEPS)) * F.log2("n")) + 1)  # 0 is left to words that never occur
+    return _packed(counts.select("cell", code.cast("bigint").alias("v")), ROWS * CELLS, np.uint8)
 
 
 def codes_of(words: np.ndarray, codes: np.ndarray) -> np.ndarray:
@@ -84,10 +98,7 @@ def bloom(df: DataFrame, column: str) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(bits[part].view(np.int64))], ["cell", "b"])
 
     cells = df.select(column).where(F.col(column).isNotNull()).mapInArrow(fill, "cell int, b bigint")
-    t = cells.groupBy("cell").agg(F.bit_or("b").alias("b")).toArrow()
-    out = np.zeros(BLOOM_WORDS, np.uint64)
-    out[t["cell"].to_numpy()] = t["b"].to_numpy().view(np.uint64)
-    return out
+    return _packed(cells.groupBy("cell").agg(F.bit_or("b").alias("v")), BLOOM_WORDS, np.uint64)
 
 
 def in_bloom(hashes: np.ndarray, bits: np.ndarray) -> np.ndarray:
