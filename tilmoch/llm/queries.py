@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tilmoch.llm import oracles as O
 from tilmoch.llm.consistent import consistent_texts
 from tilmoch.llm.cross_split import cross_split_pairs
 from tilmoch.llm.eval_leaks import leaks, without_leaks
@@ -46,6 +47,13 @@ def p1_totals(spark: SparkSession, sf: str) -> DataFrame:
     return slice_totals(p1_rows(spark, sf))
 
 
+def p1_checks(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows, rows without a token, and totals of a slicing that miss the whole, per table."""
+    rows = p1_rows(spark, sf)
+    total = slice_totals(rows).groupBy("tbl", "level").agg(F.sum("rows").alias("r"), F.sum("tokens").alias("t")).groupBy("tbl").agg((F.countDistinct("r", "t") - 1).alias("missed"))
+    return rows.groupBy("tbl").agg(F.count("*").alias("rows"), F.count_if(F.col("tokens") == 0).alias("empty")).join(total, "tbl")
+
+
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     ner = record_copies(table(spark, sf, "ner_records"), "id", F.col("tokens"), F.col("source"))
     raw = payload_records(table(spark, sf, "raw_lines"), "line_id", "payload")
@@ -154,6 +162,15 @@ def p7_fill(spark: SparkSession, sf: str) -> DataFrame:
     return fill_report(p7_placed(spark, sf))
 
 
+def p7_checks(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents, overfull containers and documents cut without need of each capacity, and whether it takes more than one percent of containers too many."""
+    placed = p7_placed(spark, sf)
+    per = placed.groupBy("spec_id", "doc_id").agg(F.count("*").alias("parts"), F.sum("tokens").alias("n"), F.max("capacity_tokens").alias("cap"))
+    per = per.groupBy("spec_id").agg(F.count("*").alias("documents"), F.count_if((F.col("n") <= F.col("cap")) & (F.col("parts") > 1)).alias("split_in_vain"))
+    fill = fill_report(placed).select("spec_id", (F.col("fullest") > F.col("capacity_tokens")).cast("bigint").alias("overfull"), (F.col("containers") > 1.01 * F.col("least") + 1).cast("bigint").alias("wasteful"))
+    return per.join(fill, "spec_id")
+
+
 def _targets(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "mix_targets").withColumn("source", source_name(F.col("source")))
 
@@ -168,6 +185,18 @@ def p8_shares(spark: SparkSession, sf: str) -> DataFrame:
     return shares(p8_uses(spark, sf), _targets(spark, sf))
 
 
+def p8_checks(spark: SparkSession, sf: str) -> DataFrame:
+    """Targets of each plan, those used beyond their repeats, the sum of the actual shares, and sources that miss their share by more than one document of each source explains."""
+    uses = p8_uses(spark, sf)
+    most = uses.groupBy("plan", "source").agg(F.max("tokens").alias("longest"))
+    s = shares(uses, _targets(spark, sf)).join(most, ["plan", "source"], "left")
+    all_ = s.where("have_tokens > 0").groupBy("plan").agg(F.sum("target_share").alias("able"), F.sum("longest").alias("slack"))
+    s = s.join(all_, "plan")
+    want = F.col("target_share") / F.col("able")
+    far = (F.col("have_tokens") > 0) & (F.abs(F.col("used_tokens") - want * F.col("plan_tokens")) > F.col("longest") + want * F.col("slack"))
+    return s.groupBy("plan").agg(F.count("*").alias("targets"), F.count_if(F.col("most_uses") > F.col("max_repeats")).alias("over_repeated"), F.round(F.sum("actual_share"), 6).alias("whole"), F.count_if(far).alias("missed"))
+
+
 def _quality(spark: SparkSession, sf: str) -> DataFrame:
     return text_quality(table(spark, sf, "documents"), "doc_id", F.col("text")).withColumnRenamed("key", "doc_id")
 
@@ -185,4 +214,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "p1_checks": O.P1_CHECKS, "p2_found": O.P2, "p3_found": O.P3, "p5_found": O.P5, "p6_found": O.P6, "p6_groups": O.P6_GROUPS, "p7_checks": O.P7_CHECKS, "p8_checks": O.P8_CHECKS,
+    }
