@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import difflib
-from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -15,8 +14,7 @@ from tilmoch.functions import bio as B
 from tilmoch.functions import lexicon as L
 from tilmoch.functions import text as S
 
-#: Characters that stand for the distinct words of a pair of texts; pairs with more words or longer texts are compared bit by bit.
-ALPHABET = "".join(map(chr, range(0x4E00, 0x4E00 + 1000)))
+#: Texts of more words or characters than this are compared by bit vectors.
 LONG = 2000
 
 
@@ -45,37 +43,16 @@ def bit_distance(a: list | str, b: list | str) -> int:
     return out
 
 
-@F.arrow_udf(T.IntegerType())
-def _long_words(ref: pa.Array, hyp: pa.Array) -> pa.Array:
-    return pa.array([None if a is None or b is None else bit_distance(a, b) for a, b in zip(ref.to_pylist(), hyp.to_pylist())], pa.int32())
-
-
 @F.arrow_udf(T.IntegerType())
 def _long_texts(ref: pa.Array, hyp: pa.Array) -> pa.Array:
     return pa.array([None if a is None or b is None else bit_distance(a, b) for a, b in zip(ref.to_pylist(), hyp.to_pylist())], pa.int32())
 
 
-def _either(long: Column, far: Callable[[Column, Column], Column], near: Column, a: Column, b: Column) -> Column:
-    """near where texts are short, far on the long ones; the function of long ones gets nulls for all others."""
-    return F.when(long, far(F.when(long, a), F.when(long, b))).otherwise(near)
-
-
-def word_edits(ref: Column, hyp: Column) -> Column:
-    """Edit distance of two word arrays: each distinct word becomes one character, and the native string distance does the rest.
-
-    Pairs with more distinct words than there are characters, or of more than LONG
-    words, are compared by bit vectors: the same distance, without a limit.
-    """
-    vocabulary = F.array_distinct(F.concat(ref, hyp))
-    long = (F.size(vocabulary) > len(ALPHABET)) | (F.greatest(F.size(ref), F.size(hyp)) > LONG)
-    code = lambda words: F.array_join(F.transform(F.when(~long, words), lambda w: F.lit(ALPHABET).substr(F.array_position(vocabulary, w).cast("int"), F.lit(1))), "")
-    return _either(long, _long_words, F.levenshtein(code(ref), code(hyp)), ref, hyp)
-
-
 def char_edits(ref: Column, hyp: Column) -> Column:
     """Edit distance of two texts in characters, long ones by bit vectors."""
     long = F.greatest(F.length(ref), F.length(hyp)) > LONG
-    return _either(long, _long_texts, F.levenshtein(F.when(~long, ref), F.when(~long, hyp)), ref, hyp)
+    # the function of long texts gets nulls for all others
+    return F.when(long, _long_texts(F.when(long, ref), F.when(long, hyp))).otherwise(F.levenshtein(F.when(~long, ref), F.when(~long, hyp)))
 
 
 def rate(errors: Column, units: Column) -> Column:
@@ -122,6 +99,32 @@ def _filled(ref: list[np.ndarray], hyp: list[np.ndarray]) -> np.ndarray:
     return np.stack([subs, deletions, edits - subs - deletions], axis=1)
 
 
+def _coded(ref: pa.Array, hyp: pa.Array) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Both word arrays with each distinct word of the batch as a number; null arrays count as empty."""
+    a, b = ref.flatten(), hyp.flatten()
+    codes = pa.concat_arrays([a, b]).dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
+
+    def parts(x: pa.Array, codes: np.ndarray) -> list[np.ndarray]:
+        size = np.asarray(x.value_lengths().fill_null(0))
+        return np.split(codes, np.cumsum(size)[:-1]) if len(size) else []
+
+    return parts(ref, codes[: len(a)]), parts(hyp, codes[len(a) :])
+
+
+@F.arrow_udf(T.LongType())
+def word_edits(ref: pa.Array, hyp: pa.Array) -> pa.Array:
+    """Edit distance of two word arrays, all pairs of a batch together; very long ones by bit vectors. Null arrays count as empty."""
+    a, b = _coded(ref, hyp)
+    long = np.array([max(len(x), len(y)) > LONG for x, y in zip(a, b)], bool)
+    out = np.zeros(len(a), np.int64)
+    short = np.flatnonzero(~long)
+    if len(short):
+        out[short] = _edit_counts([a[i] for i in short], [b[i] for i in short]).sum(axis=1)
+    for i in np.flatnonzero(long):
+        out[i] = bit_distance(a[i].tolist(), b[i].tolist())
+    return pa.array(out)
+
+
 @F.arrow_udf(T.StructType().add("substitutions", T.LongType()).add("deletions", T.LongType()).add("insertions", T.LongType()))
 def edit_split(ref: pa.Array, hyp: pa.Array) -> pa.Array:
     """AGG13: substitutions, deletions and insertions between two word arrays.
@@ -129,14 +132,7 @@ def edit_split(ref: pa.Array, hyp: pa.Array) -> pa.Array:
     The total is the edit distance; among best paths one with the fewest
     substitutions is counted. Null arrays count as empty.
     """
-    flat = pa.concat_arrays([ref.flatten(), hyp.flatten()]).dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
-
-    def parts(x: pa.Array, codes: np.ndarray) -> list[np.ndarray]:
-        size = np.asarray(x.value_lengths().fill_null(0))
-        return np.split(codes, np.cumsum(size)[:-1]) if len(size) else []
-
-    k = len(ref.flatten())
-    out = _edit_counts(parts(ref, flat[:k]), parts(hyp, flat[k:])) if len(ref) else np.zeros((0, 3), np.int64)
+    out = _edit_counts(*_coded(ref, hyp)) if len(ref) else np.zeros((0, 3), np.int64)
     return pa.StructArray.from_arrays([pa.array(out[:, i]) for i in range(3)], ["substitutions", "deletions", "insertions"])
 
 
